@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, language_id, license_scan, mixing, quality, secret_scan, sharding, vector_search
+from strandloom.llm import decontamination, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, vector_search
 from strandloom.llm.common import held_out, small_side, table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"))
@@ -52,7 +56,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan)}
 
 
 def _license_sql() -> str:
