@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, vector_search
+from strandloom.llm import decontamination, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, substring_dedup, vector_search
 from strandloom.llm.common import held_out, small_side, table
 
 
@@ -55,8 +55,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan, op10_substring_dedup)}
 
 
 def _license_sql() -> str:
