@@ -39,6 +39,7 @@ FLUSH_TOKENS = 4 << 20
 FLUSH_SETS = 60_000
 CHUNK_SETS, CHUNK_TOKENS = 256, 2 << 20
 FEW = 1_000_000
+NEAR_WORDS, NEAR = 5, (80, 100)
 SKIP = 0.0085  # weight of a merge step against a probe in the choice of how many lists to skip
 
 
