@@ -79,8 +79,8 @@ SELECT d.doc_id, d.digest, known.license FROM d LEFT JOIN known ON d.digest = kn
 
 
 def oracle_sql() -> dict[str, str]:
-    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '')"
-    shingles = "list_transform(range(1, greatest(0, len(w) - least(5, {n}) + 1) + 1), i -> array_to_string(w[i : i + least(5, {n}) - 1], ' '))"
+    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda v: v <> '')"
+    shingles = "list_transform(range(1, greatest(0, len(w) - least(5, {n}) + 1) + 1), lambda i: array_to_string(w[i : i + least(5, {n}) - 1], ' '))"
     return {
         "op3_decontamination": f"""
 WITH items AS (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -88,14 +88,14 @@ sizes AS (SELECT item_id, w, least(5, len(w)) AS width FROM items WHERE len(w) >
 shingle AS (SELECT DISTINCT item_id, width, unnest({shingles.format(n='len(w)')}) AS s FROM sizes),
 n AS (SELECT item_id, count(*) AS n_shingles FROM shingle GROUP BY item_id),
 worded AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
-ds AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, greatest(0, len(w) - width + 1) + 1), i -> array_to_string(w[i : i + width - 1], ' '))) AS s
+ds AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, greatest(0, len(w) - width + 1) + 1), lambda i: array_to_string(w[i : i + width - 1], ' '))) AS s
        FROM worded, (SELECT DISTINCT width FROM sizes) x),
 met AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN shingle USING (width, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM met JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles""",
         "op4_vector_search": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
