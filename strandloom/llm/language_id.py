@@ -7,7 +7,8 @@ profile wins.
 
 Defined cases: text that is null or has no letter is `und` with score 0. Languages at equal distance go to the
 smaller code. N-grams of equal count rank by their code. With no labelled training row there are no profiles and
-every document is `und`. Extra columns of the input are ignored; texts are read whole, in pieces of bounded size.
+every document is `und`. Extra columns are kept; lang_pred and score
+replace columns of these names. Texts are read whole, in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -53,32 +54,32 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = [], []
     text = text or ""
     for at in range(0, len(text), PIECE):
-        # two characters of overlap: the grams that end in this piece, each counted once
+        # two characters of overlap; a gram counts in the piece that it ends in
         back = min(at, LONGEST - 1)
-        points = np.frombuffer(text[at - back : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lead = text[at - back : at].lower()
+        points = np.frombuffer((lead + text[at : at + PIECE].lower()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         points = np.where(_letters()[points], points, 0).astype(np.int64)
-        if not points.any():
-            continue
-        if back == 0:
-            points = np.concatenate(([0], points))
+        own = np.arange(len(points)) >= len(lead)
+        if at == 0:
+            points, own = np.concatenate(([0], points)), np.concatenate(([False], own))
         if at + PIECE >= len(text):
-            points = np.concatenate((points, [0]))
+            points, own = np.concatenate((points, [0])), np.concatenate((own, [True]))
         kept = np.ones(len(points), dtype=bool)
         kept[1:] = (points[1:] != 0) | (points[:-1] != 0)
-        points = points[kept]
-        grams = [points[points != 0]]
+        points, own = points[kept], own[kept]
+        if not points.any():
+            continue
         pairs = (points[:-1] << 21) | points[1:]
-        grams.append(pairs[pairs != 0])
+        grams = [points[own & (points != 0)], pairs[own[1:] & (pairs != 0)] | (1 << 61)]
         if len(points) > 2:
-            middle = points[1:-1] != 0
-            grams.append(((pairs[:-1] << 21) | points[2:])[middle] | (1 << 62))
-        grams[1] = grams[1] | (1 << 61)
+            grams.append(((pairs[:-1] << 21) | points[2:])[own[2:] & (points[1:-1] != 0)] | (1 << 62))
         every, n = np.unique(np.concatenate(grams), return_counts=True)
         codes.append(every)
         counts.append(n)
     if not codes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _merged(codes, counts)
+    codes, counts = _merged(codes, counts)
+    return codes, counts
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -153,7 +154,7 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], text: str =
         best = int(np.argmin(away))
         return names[best], 1.0 - away[best] / (size * len(own))
 
-    kept = documents.columns
+    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
     schema = documents.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], text: str =
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return documents.mapInArrow(predict, schema)
+    return documents.select(*kept).mapInArrow(predict, schema)
 
 
 def trained_on(documents: DataFrame, out: Column, size: int = PROFILE) -> dict[str, np.ndarray]:

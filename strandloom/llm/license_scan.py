@@ -6,7 +6,7 @@ Digests of entire canonical texts are then hash-joined. Texts that only contain
 
 Defined cases: a null text, and one with nothing left after normalising, match nothing and have a null digest; ties
 between licences of one canonical text go to the smaller name. Repeated rows each get their row. Extra columns but
-the text are kept, whatever their names. An empty table gives no rows.
+the text are kept, those of the result's names replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame
 
 def scan(documents: DataFrame, licences: DataFrame | None = None, text: str = "text") -> DataFrame:
     """`documents` without its text, with its canonical digest and the licence of that digest, or null."""
-    columns = [c for c in documents.columns if c != text]
+    columns = [c for c in documents.columns if c not in (text, "digest", "license")]
     licences = known(documents.sparkSession) if licences is None else licences
     rows = documents.select(F.struct(*columns).alias("_row"), digest(F.col(text)).alias("_d"))
     side = small_side(licences.select(F.col("license_digest").alias("_k"), F.col("license").alias("_license")), licences.count(), 100_000)

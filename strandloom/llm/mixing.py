@@ -11,7 +11,8 @@ leave the documents. Targets are set on the driver from one row a source.
 
 Defined cases: a null text has 0 words; documents of 0 words are taken 0 times. A null source is a source of its own,
 after all others. Empty tables give no rows. Rows that agree in source, length and doc_id are told apart by
-nothing and may trade places. Reruns agree. Extra columns but the text are kept, whatever their names.
+nothing and may trade places. Reruns agree. Extra columns but the text are kept, those of the result's
+names replaced.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def fit(counts: dict[int, int], budget: int, exact: int = EXACT) -> dict[int, in
 def mix(documents: DataFrame, weights: Iterable[float] = WEIGHTS, most: int = MOST, seed: str = SEED, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """`documents` without its text, with size, source_size, target and taken (words the mix takes, repeats counted)."""
     spark = documents.sparkSession
-    columns = [c for c in documents.columns if c != text]
+    columns = [c for c in documents.columns if c not in (text, "size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     own = documents.select(F.struct(*columns).alias("_row"), F.col(source).alias("_source"), size.alias("_size"), F.xxhash64(F.lit(seed), key).alias("_hash"))
     rows = stored(own, "lengths").withColumn("_slice", F.shiftrightunsigned("_hash", 56))

@@ -9,7 +9,8 @@ Training reads a bounded sample (about `most` rows, those of the smallest seeded
 averaged, so a task holds most / shards rows whatever the table's size.
 
 Defined cases: null and empty texts have no n-grams and get the score of the bias alone. With no labelled rows all
-weights are 0 and every score is 0.5. Repeated labels of a document all count. Extra columns are ignored.
+weights are 0 and every score is 0.5. Repeated labels of a document all count. Extra columns are kept; score
+replaces a column of this name.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from strandloom.llm.common import mixed, slices, span_hashes, spans, utf8
 BITS = 18
 SAMPLE = 32_000
 SHARDS = 4
+SHARD_ROWS = 4000
 PASSES = 3
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -83,6 +85,11 @@ def sampled(labels: DataFrame, key: str, most: int = SAMPLE) -> DataFrame:
     return labels.where(h < F.lit(int(share * (1 << 53))))
 
 
+def shards_for(rows: int) -> int:
+    """Learners for a sample of `rows`: few rows are not worth dividing."""
+    return max(1, min(SHARDS, rows // SHARD_ROWS))
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "key", bits: int = BITS, shards: int = SHARDS, passes: int = PASSES) -> np.ndarray:
     """The averaged weights of learners over all rows of `labelled` (text, 0/1 label, key): a bounded sample, see sampled()."""
     sample = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit("order"), F.col(key)).alias("h"))
@@ -118,7 +125,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
 
 def score(documents: DataFrame, weights: np.ndarray, text: str = "text", bits: int = BITS) -> DataFrame:
     """`documents` with `score`: the probability of label 1, a sparse dot product a document."""
-    kept = documents.columns
+    kept = [c for c in documents.columns if c != "score"]
     schema = documents.select(*kept).schema.add("score", "double")
     shared = documents.sparkSession.sparkContext.broadcast(weights)  # 2^bits + 1 floats
 
@@ -132,4 +139,4 @@ def score(documents: DataFrame, weights: np.ndarray, text: str = "text", bits: i
                     sums[k] += w[places] @ values
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35))))], names=[*kept, "score"])
 
-    return documents.mapInArrow(predict, schema)
+    return documents.select(*kept).mapInArrow(predict, schema)

@@ -38,8 +38,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = quality.sampled(table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", F.col("quality").alias("label"))
-    labelled = documents.join(small_side(marked, marked.count(), 2 * quality.SAMPLE), "doc_id").withColumnRenamed("doc_id", "key")
-    scored = quality.score(documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), quality.train(labelled))
+    n = marked.count()
+    labelled = documents.join(small_side(marked, n, 2 * quality.SAMPLE), "doc_id").withColumnRenamed("doc_id", "key")
+    scored = quality.score(documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), quality.train(labelled, shards=quality.shards_for(n)))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

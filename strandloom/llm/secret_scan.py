@@ -5,7 +5,8 @@ string of few characters per token is likely a key. Digests (plain hex of a dige
 identifiers (words joined by separators, no mixture of letters and digits inside them) are excluded first.
 
 Defined cases: null text is empty; it has no spans and the digest of the empty list. Spans are code points, end
-exclusive. Texts are scanned whole; the spans of repeated rows are equal. Extra columns are ignored.
+exclusive. Texts are scanned whole; the spans of repeated rows are equal. Extra columns are kept; those
+of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -68,9 +69,10 @@ def scan(documents: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATI
     spark = documents.sparkSession
     with open(vocabulary, "rb") as f:  # read once here: executors need no copy of the file
         shared = spark.sparkContext.broadcast(f.read())
-    kept = [c for c in documents.columns if c != text]
+    made = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    kept = [c for c in documents.columns if c != text and c not in made]
     schema = documents.select(*kept).schema
-    for name in ("n_assign", "n_access", "n_hex"):
+    for name in made[:3]:
         schema = schema.add(name, "long")
     schema = schema.add("base_sha256", "string").add("spans", "string")
     rows = documents.select(*kept, text)

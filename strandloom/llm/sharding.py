@@ -9,7 +9,7 @@ shard go together, to the shard that holds their common middle. No task holds mo
 
 Defined cases: a null text weighs only the overhead, and its crc32 is null. An empty table gives no rows. Rows that
 agree in text and doc_id are ordered by nothing further and may take each other's slot. Extra columns but the text are kept,
-whatever their names.
+those of the result's names replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def shard_by_bytes(documents: DataFrame, shards: int = 40, text: str = "text", k
 
     The text is read once; what is ordered and summed is a few numbers a document.
     """
-    columns = [c for c in documents.columns if c != text]
+    made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    columns = [c for c in documents.columns if c != text and c not in made]
     raw = F.col(text).cast("binary")
     own = documents.select(
         F.struct(*columns).alias("_row"),
