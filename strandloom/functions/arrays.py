@@ -105,6 +105,6 @@ def relation(a: Column, b: Column) -> Column:
         F.when(a == b, name["identical"]).when(a1 < b0, name["apart_left"]).when(b1 < a0, name["apart_right"])
         .when(same & (a0 <= b0) & (b1 <= a1), name["contains"]).when(same & (b0 <= a0) & (a1 <= b1), name["contained"])
         .when(same & (a0 < b0), name["extends_left"]).when(same & (b0 < a0), name["extends_right"])
-        .when((F.size(inside(a)) == 0) & (b0 < a0) & (a1 < b1), name["nested"]).when((F.size(inside(b)) == 0) & (a0 < b0) & (b1 < a1), name["nesting"])
+        .when((F.size(inside(b)) == 0) & (b0 < a0) & (a1 < b1), name["nested"]).when((F.size(inside(a)) == 0) & (a0 < b0) & (b1 < a1), name["nesting"])
         .otherwise(name["conflicting"])
     )
