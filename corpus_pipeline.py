@@ -30,8 +30,10 @@ FEW = 1_000_000
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     profiles = language_id.trained_on(docs, held_out(F.col("doc_id")))
-    found = language_id.identify(docs, profiles)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*(c if c == "text" else f"_{k}" for k, c in enumerate(names)))  # whatever the columns are called
+    found = language_id.identify(plain, profiles)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*plain.columns).toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
