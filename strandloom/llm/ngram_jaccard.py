@@ -6,13 +6,14 @@ its smallest doc_id; only classes are compared.
 1. Two sets of n shingles or more that link share at least T = ceil(threshold * n). A set with more than n - T
    shingles that occur in no other class can link with nothing. Occurrences are counted over all documents, in the
    lowest range of the hashes (a bound from part of a set holds for all of it), packed into byte strings.
-2. Of the sets left, the n - T + 1 rarest shingles (within hash ranges, a global order) must meet those of a partner.
-   Sets that share one are tied, and the components of these ties are blocks: links never leave a block.
+2. Of the sets left, the n - T + 1 rarest shingles (within hash ranges, a global order) must meet those of a partner,
+   and a partner's size lies within the threshold of the set's own. Sets that share such a shingle and a class of sizes
+   are tied, and the components of these ties are blocks: links never leave a block.
 3. Each block is searched by DivideSkip: for each query set the lists of its shingles are parted by length, the short
    ones are merged into counts, and sets whose count can still reach T are probed for in the long ones by binary
    search. Pairs already connected are not probed. Blocks are cut into chunks of bounded size: first each
    chunk is searched within, then one set of each component found is searched for in the block's other chunks, and at
-   last every set outside the block's largest component is searched for in all the chunks that it is not in. A pair
+   last every set outside the block's largest component; each only in chunks that hold one of its rarest shingles. A pair
    across chunks that is never probed lies in one component already, so no component is split.
 
 Defined cases: null text and text without words have an empty set and link with nothing (a component of one). With
@@ -22,11 +23,12 @@ equal rows. Extra columns are ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import mixed, shingle_sets, slices, small_side, stored, utf8
@@ -37,7 +39,7 @@ SMALL_SET = 64
 BUCKET_TOKENS = 1 << 20
 FLUSH_TOKENS = 4 << 20
 FLUSH_SETS = 60_000
-CHUNK_SETS, CHUNK_TOKENS = 256, 2 << 20
+CHUNK_SETS, CHUNK_TOKENS = 2048, 2 << 20
 FEW = 1_000_000
 NEAR_WORDS, NEAR = 5, (80, 100)
 SKIP = 0.0085  # weight of a merge step against a probe in the choice of how many lists to skip
@@ -56,6 +58,10 @@ class Threshold:
         """The fewest shared shingles with which a set of n can link."""
         return -(-self.num * n // self.den)
 
+    def size_class(self, n: Column) -> Column:
+        """Sets that can link lie in one class or in two that follow each other."""
+        return F.floor(F.log(n) / F.lit(math.log(self.den / self.num) * (1 + 1e-9))).cast("int")
+
     def overlap(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.num + self.den))
 
@@ -160,29 +166,31 @@ def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: in
     return packed.groupBy("bucket").applyInArrow(count, "a long, shared long").groupBy("a").agg(F.sum("shared").alias("shared"))
 
 
-def blocks(documents: DataFrame, suspects: DataFrame, few: int, size: int, limit: Threshold) -> DataFrame:
-    """(id, component): the ties between `suspects` (doc_id, n) that share one of their rarest shingles."""
+def blocks(documents: DataFrame, suspects: DataFrame, few: int, size: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c, t): the rarest shingles of `suspects` (doc_id, n) by size class; (id, component): the ties they make."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, tokens in _sets(batch, size):
                 own = limit.sketch(tokens)
                 k = len(own)
-                yield pa.record_batch({"doc_id": pa.array(np.full(k, batch.column(0)[i].as_py(), np.int64)), "need": pa.array(np.full(k, len(tokens) - limit.least(len(tokens)) + 1, np.int32)), "t": pa.array(own)})
+                yield pa.record_batch({"doc_id": pa.array(np.full(k, batch.column(0)[i].as_py(), np.int64)), "n": pa.array(np.full(k, len(tokens), np.int32)), "need": pa.array(np.full(k, len(tokens) - limit.least(len(tokens)) + 1, np.int32)), "t": pa.array(own)})
 
     texts = documents.join(small_side(suspects.select("doc_id"), few, FEW), "doc_id", "left_semi").select("doc_id", "text")
-    postings = stored(texts.mapInArrow(sketches, "doc_id long, need int, t long"), "postings")
+    postings = stored(texts.mapInArrow(sketches, "doc_id long, n int, need int, t long"), "postings")
     often = postings.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     # a global order: hash range, then rarest first, then the hash
     span = F.when(F.col("t") < limit.low, 0).when(F.col("t") < limit.mid, 1).otherwise(2) if limit.low < FULL - 1 else F.lit(0)
     ranked = postings.join(often, "t", "left").groupBy("doc_id").agg(
-        F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct(span.alias("r"), F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("ts")
+        F.first("need").alias("need"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(span.alias("r"), F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("ts")
     )
-    prefix = ranked.select("doc_id", F.explode(F.filter(F.slice("ts", F.lit(1), F.col("need")), lambda x: x["df"] > 1)).alias("x")).select("doc_id", F.col("x.t").alias("t"))
-    prefix = stored(prefix, "prefix")
-    least = prefix.groupBy("t").agg(F.min("doc_id").alias("m"))
-    ties = prefix.join(least, "t").where(F.col("doc_id") != F.col("m")).select(F.col("doc_id").alias("u"), F.col("m").alias("v")).distinct()
-    return connected(ties)
+    kept = F.filter(F.slice("ts", F.lit(1), F.col("need")), lambda x: x["df"] > 1)
+    kind = limit.size_class(F.col("n"))
+    prefix = ranked.select("doc_id", kind.alias("c"), F.explode(F.transform(kept, lambda x: x["t"])).alias("t"))
+    prefix = stored(prefix.select("doc_id", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c"), "t"), "prefix")
+    least = prefix.groupBy("t", "c").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("_x")).where("m <> _x").drop("_x")
+    ties = prefix.join(least, ["t", "c"]).where(F.col("doc_id") != F.col("m")).select(F.col("doc_id").alias("u"), F.col("m").alias("v")).distinct()
+    return prefix, connected(ties)
 
 
 class _Forest:
@@ -275,8 +283,11 @@ def chunk_links(rows: DataFrame, size: int, limit: Threshold) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links_of_blocks(documents: DataFrame, tied: DataFrame, sizes: DataFrame, size: int, limit: Threshold, chunk_sets: int = CHUNK_SETS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(u, v): links that connect what links connect, from blocks (id, component) and set sizes (doc_id, n)."""
+def links_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFrame, sizes: DataFrame, size: int, limit: Threshold, chunk_sets: int = CHUNK_SETS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """(u, v): links that connect what links connect, from blocks (id, component) and set sizes (doc_id, n).
+
+    A set that asks goes only to the chunks that hold a set of another component with one of its rarest shingles.
+    """
     own = tied.join(sizes, tied["id"] == sizes["doc_id"]).select("doc_id", "n", F.col("component").alias("block"))
     parts = own.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum("n") / chunk_tokens)).cast("int").alias("parts"))
     members = own.join(parts, "block").select("doc_id", "block", "parts", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("chunk"))
@@ -298,8 +309,9 @@ def links_of_blocks(documents: DataFrame, tied: DataFrame, sizes: DataFrame, siz
         else:
             held = marked.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
             asking = marked.join(held, "block").where("label <> largest").drop("largest")
-        asking = asking.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("to <> chunk")
-        rows = asking.select("doc_id", "block", F.col("to").alias("chunk"), F.lit(1).alias("asks"), "label")
+        lists = prefix.join(marked.select("doc_id", F.col("chunk").alias("to"), F.col("label").alias("other")), "doc_id").select("c", "t", "to", "other").distinct()
+        met = prefix.join(asking.select("doc_id", "block", "chunk", "label"), "doc_id").join(lists, ["c", "t"]).where("to <> chunk and other <> label")
+        rows = met.select("doc_id", "block", F.col("to").alias("chunk"), F.lit(1).alias("asks"), "label").distinct()
         # only the chunks that are asked, each with the sets it holds
         asked = rows.select("block", "chunk").distinct()
         rows = stored(rows.unionByName(marked.join(asked, ["block", "chunk"], "left_semi").select("doc_id", "block", "chunk", F.lit(0).alias("asks"), "label")), "asking")
@@ -319,8 +331,8 @@ def similar(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100)
     spare = F.col("n") - F.ceil(F.col("n") * num / den)
     suspects = classes.join(shared, "a", "left").where(F.col("low") - F.coalesce("shared", F.lit(0)) <= spare)
     suspects = stored(suspects.select("doc_id", "n"), "suspects")
-    tied = blocks(documents, suspects, suspects.count(), size, limit)
-    links = links_of_blocks(documents, tied, suspects, size, limit)
+    prefix, tied = blocks(documents, suspects, suspects.count(), size, limit)
+    links = links_of_blocks(documents, prefix, tied, suspects, size, limit)
     found = connected(links).select(F.col("id").alias("doc_id"), "component")
     named = classes.join(found, "doc_id", "left").select("n", "a", "b", F.coalesce("component", "doc_id").alias("component_id"))
     return rows.join(named, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
