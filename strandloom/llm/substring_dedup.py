@@ -35,10 +35,10 @@ from strandloom.llm.common import mixed, slices, small_side, span_hashes, stored
 
 WIDTH = 50
 ANCHOR = 16
-PIECE = 4 << 20
-BUCKET_BYTES = 16 << 20
-SHARD_BYTES = 16 << 20
-ARRAY_BYTES = 4 << 20
+PIECE = 1 << 20
+BUCKET_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20
+ARRAY_BYTES = 1 << 20
 FLUSH_ANCHORS = 2 << 20
 FLUSH_DOCS = 20_000
 FEW, FEW_FATES = 1_000_000, 400_000
@@ -85,7 +85,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, start in it, bytes, offsets): bounded pieces; those of one long row overlap by width - 1 bytes."""
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, PIECE):
         a, b = int(offsets[i]), int(offsets[j])
         if j - i > 1 or b - a <= PIECE:
             yield i, 0, data[a:b], offsets[i : j + 1] - a
@@ -260,7 +260,7 @@ class _Contexts:
 def _named(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches ordered by key and content, then document; where a content begins; each content's smallest document."""
     prints = np.zeros(len(docs), np.uint64)
-    for i, j in slices(np.append(begins, ends[-1:])):
+    for i, j in slices(np.append(begins, ends[-1:]), PIECE):
         prints[i:j] = span_hashes(text[begins[i] : ends[j - 1]], begins[i:j] - begins[i], ends[i:j] - begins[i])
     prints = mixed(prints + mixed((ends - begins).astype(np.uint64)))
     order = np.lexsort((docs, prints, keys))
