@@ -2,7 +2,7 @@
 
 A byte goes when some string of `width` bytes that covers it also starts in a document of smaller doc_id.
 
-Candidate search. Each string of `width` bytes has an anchor: the 16 bytes in it of smallest hash, leftmost among equal
+Candidate search. Each string of `width` bytes has an anchor: the `ANCHOR` bytes in it of smallest hash, leftmost among equal
 ones. Equal strings have equal anchors at equal places, so a repeat shows as an anchor that two documents share.
 Anchors are met in hash buckets as packed byte strings; those of one document only are dropped, and with them nearly all
 unrepeated text.
@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import mixed, slices, small_side, span_hashes, stored, utf8
 
 WIDTH = 50
-ANCHOR = 16
+ANCHOR = 24
 PIECE = 1 << 20
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 ARRAY_BYTES = 1 << 20
 FLUSH_ANCHORS = 2 << 20
 FLUSH_DOCS = 20_000
-FEW, FEW_FATES = 1_000_000, 400_000
+FEW, FEW_FATES, FEW_BYTES = 1_000_000, 400_000, 32 << 20
 
 _PLACE = np.uint64(24)
 _PLACES = np.uint64((1 << 24) - 1)
@@ -67,9 +67,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     if len(data) < width:
         return none, none, none
     words = _words8(data)
-    hashes = mixed(words[: len(words) - (ANCHOR - 8)] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[ANCHOR - 8 :]))
+    anchor = max(8, min(ANCHOR, width // 2 // 8 * 8))
+    n = len(words) - (anchor - 8)
+    hashes = words[:n].copy()
+    for k in range(8, anchor, 8):
+        hashes = mixed(hashes) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    hashes = mixed(hashes)
     least = (hashes >> _PLACE << _PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    span, reach = width - ANCHOR + 1, 1
+    span, reach = width - anchor + 1, 1
     while reach < span:
         step = min(reach, span - reach)
         least = np.minimum(least[:-step], least[step:])
@@ -269,15 +274,23 @@ def _named(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndar
     return order, new, docs[order][np.flatnonzero(new)]
 
 
-def _batch(docs, starts, ends) -> pa.RecordBatch:
+def _sent(docs, starts, ends, shards: int) -> pa.RecordBatch:
+    """Removed spans on their way to the documents' shards: one packed row a shard."""
+    shard = _shard(docs, shards)
+    order = np.lexsort((starts, docs, shard))
+    shard, packed = shard[order], np.stack((docs, starts, ends), axis=1).astype(np.int64)[order]
+    names, at = np.unique(shard, return_index=True)
+    return pa.record_batch({"shard": pa.array(names, pa.int32()), "spans": pa.array([packed[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(shard)), strict=True)], pa.binary())})
+
+
+def _cuts(group: pa.Table) -> pa.Table:
     """One row a document: its removed spans, merged, as packed pairs."""
+    docs, starts, ends = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in group["spans"].to_pylist()]).T
     order = np.lexsort((starts, docs))
     docs, starts, ends = docs[order], starts[order], ends[order]
     names, at = np.unique(docs, return_index=True)
-    out = []
-    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(docs)], strict=True):
-        out.append(_merged(starts[i:j], ends[i:j]).tobytes())
-    return pa.record_batch({"doc_id": pa.array(names, pa.int64()), "cuts": pa.array(out, pa.binary())})
+    out = [_merged(starts[i:j], ends[i:j]).tobytes() for i, j in zip(at.tolist(), [*at[1:].tolist(), len(docs)], strict=True)]
+    return pa.table({"doc_id": pa.array(names, pa.int64()), "cuts": pa.array(out, pa.binary())})
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -293,8 +306,8 @@ def _blobs(docs, starts, counts, keys, text, begins, ends) -> dict:
 
 
 def shard_stretches(documents: DataFrame, anchors: DataFrame, buckets: int, shards: int, width: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, cuts) resolved within a shard, and packed stretches by bucket for the rest."""
-    schema = "doc_id long, cuts binary, bucket int, docs binary, starts binary, counts binary, keys binary, bytes binary"
+    """Rows of two kinds: (shard, spans) resolved within a shard, and packed stretches by bucket for the rest."""
+    schema = "shard int, spans binary, bucket int, docs binary, starts binary, counts binary, keys binary, bytes binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,14 +329,14 @@ def shard_stretches(documents: DataFrame, anchors: DataFrame, buckets: int, shar
             gone = docs[order] > least
             at = order[gone]
             if len(at):
-                cut = _batch(docs[at], starts[at], starts[at] + counts[at] + width - 1)
+                cut = _sent(docs[at], starts[at], starts[at] + counts[at] + width - 1, shards)
                 yield pa.RecordBatch.from_arrays([*cut.columns, *(pa.nulls(cut.num_rows, t) for t in (pa.int32(), *[pa.binary()] * 5))], names=names)
             at = np.sort(order[~gone])
             bucket = keys[at] % buckets
             for b in np.unique(bucket).tolist():
                 own = at[bucket == b]
                 blobs = _blobs(docs[own], starts[own], counts[own], keys[own], text, begins[own], ends[own])
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), *(pa.array([blobs[x]], pa.binary()) for x in names[3:])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), *(pa.array([blobs[x]], pa.binary()) for x in names[3:])], names=names)
 
         for batch in batches:
             heads = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -417,19 +430,18 @@ def resolve(docs, starts, counts, keys, text, begins, ends, width: int, array_by
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def cross_shard(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, cuts) from the stretches that the shards passed on, a bucket a task."""
+def cross_shard(rows: DataFrame, shards: int, width: int) -> DataFrame:
+    """(shard, spans) from the stretches that the shards passed on, a bucket a task."""
 
     def run(group: pa.Table) -> pa.Table:
         found = _Contexts()
         for row in group.to_pylist():
             read = lambda name, kind: np.frombuffer(row[name], kind)
             found.add(read("docs", np.int64), read("starts", np.int64), read("counts", np.uint8).astype(np.int64), read("keys", np.int64), read("bytes", np.uint8))
-        docs, starts, ends = resolve(*found.all(width), width)
-        return pa.Table.from_batches([_batch(docs, starts, ends)])
+        return pa.Table.from_batches([_sent(*resolve(*found.all(width), width), shards)])
 
     columns = ["bucket", "docs", "starts", "counts", "keys", "bytes"]
-    return rows.where("bucket is not null").select(*columns).groupBy("bucket").applyInArrow(run, "doc_id long, cuts binary")
+    return rows.where("bucket is not null").select(*columns).groupBy("bucket").applyInArrow(run, "shard int, spans binary")
 
 
 def deduplicate(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -443,10 +455,11 @@ def deduplicate(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     buckets, shards = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // SHARD_BYTES))
     anchors = shared_anchors(texts, buckets, shards, width)
     met = stored(shard_stretches(texts, anchors, buckets, shards, width), "stretches")
-    cuts = met.where("doc_id is not null").select("doc_id", "cuts").unionByName(cross_shard(met, width))
+    spans = met.where("shard is not null").select("shard", "spans").unionByName(cross_shard(met, shards, width))
+    cuts = spans.groupBy("shard").applyInArrow(_cuts, "doc_id long, cuts binary")
     copies = sized.join(firsts.where("copies > 1").select("name", "first"), "name").where(F.col("doc_id") != F.col("first"))
-    fates = copies.select("doc_id", F.lit(None).cast("binary").alias("cuts")).unionByName(cuts)
-    fates = stored(fates.groupBy("doc_id").agg(F.max(F.col("cuts").isNull()).alias("copy"), F.collect_list("cuts").alias("cuts")), "fates")
+    fates = copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("cuts")).distinct().unionByName(cuts.select("doc_id", F.lit(False).alias("copy"), "cuts"))
+    fates = stored(fates, "fates")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,15 +468,15 @@ def deduplicate(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             for i, (copy, cuts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
                 spans = np.array([[0, len(text)]]) if copy else np.zeros((0, 2), np.int64)
-                if cuts and not copy:
-                    spans = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in cuts])
-                    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                    spans = _merged(spans[:, 0], spans[:, 1])
+                if cuts:
+                    spans = np.frombuffer(cuts, np.int64).reshape(-1, 2)
                 gaps = zip([0, *spans[:, 1].tolist()], [*spans[:, 0].tolist(), len(text)], strict=True)
                 kept = b"".join(text[a:b].tobytes() for a, b in gaps)
                 for column, value in zip(out, (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = documents.join(small_side(fates, fates.count(), FEW_FATES), "doc_id", "left").select("doc_id", "text", "copy", "cuts")
+    n, size = fates.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("cuts")), F.lit(0))).first()
+    small = n if size <= FEW_BYTES else FEW_FATES + 1
+    joined = documents.join(small_side(fates, small, FEW_FATES), "doc_id", "left").select("doc_id", "text", "copy", "cuts")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
