@@ -299,18 +299,29 @@ def links_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFrame, si
     if not large:
         return links
     members = stored(members.where("parts > 1"), "large-blocks")
+    asked_before = None
     for step in ("one of each", "all the others"):
         labels = connected(links).withColumnRenamed("id", "doc_id")
         marked = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         marked = stored(marked, "marked")
         if step == "one of each":
             one = marked.groupBy("block", "chunk", "label").agg(F.min("doc_id").alias("doc_id"))
-            asking = marked.join(one.select("block", "doc_id"), ["block", "doc_id"], "left_semi")
+            asking = stored(one.select("doc_id"), "asking-ids")
+            asked_before, lists = asking, prefix
         else:
+            # a set that has asked met all its links; the largest component need not ask, as the others do
             held = marked.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-            asking = marked.join(held, "block").where("label <> largest").drop("largest")
-        lists = prefix.join(marked.select("doc_id", F.col("chunk").alias("to"), F.col("label").alias("other")), "doc_id").select("c", "t", "to", "other").distinct()
-        met = prefix.join(asking.select("doc_id", "block", "chunk", "label"), "doc_id").join(lists, ["c", "t"]).where("to <> chunk and other <> label")
+            rest = marked.join(held, "block").where("label <> largest").select("doc_id")
+            asking = stored(rest.join(asked_before, "doc_id", "left_anti"), "asking-ids")
+            if asking.isEmpty():
+                break
+            sought = prefix.join(asking, "doc_id", "left_semi").select("c", "t").distinct()
+            lists = prefix.join(sought, ["c", "t"], "left_semi")
+        # one row for each shingle and set; a list is known by its chunks and, in each, whether it has more than one component
+        flagged = marked.join(asking.withColumn("asks", F.lit(True)), "doc_id", "left")
+        held = stored(lists.join(flagged, "doc_id").select("c", "t", "doc_id", "block", "chunk", "label", "asks"), "lists")
+        chunks = held.groupBy("c", "t", F.col("chunk").alias("to")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        met = held.where("asks").join(chunks, ["c", "t"]).where("to <> chunk and (lo <> label or hi <> label)")
         rows = met.select("doc_id", "block", F.col("to").alias("chunk"), F.lit(1).alias("asks"), "label").distinct()
         # only the chunks that are asked, each with the sets it holds
         asked = rows.select("block", "chunk").distinct()
