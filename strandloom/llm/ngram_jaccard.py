@@ -254,15 +254,19 @@ def search(sets: list[np.ndarray], labels: list, n_index: int, limit: Threshold)
 
 
 def chunk_links(rows: DataFrame, size: int, limit: Threshold) -> DataFrame:
-    """(u, v) from rows (block, chunk, asks, label, doc_id, text): each chunk is one task's work, searched as a whole."""
+    """(u, v) from rows (block, chunk, asks, label, doc_id, text): each chunk is one task's work, searched as a whole.
+
+    The ends of a link are named by their labels, or by their doc_id where they have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, labels, sets, n_index = None, [], [], [], 0
 
         def links() -> pa.RecordBatch:
             found = list(search(sets, labels, n_index, limit)) if n_index and len(sets) > 1 else []
-            return pa.record_batch({"u": pa.array([ids[q] for q, _ in found], pa.int64()), "v": pa.array([ids[c] for _, c in found], pa.int64())})
+            return pa.record_batch({"u": pa.array([name(q) for q, _ in found], pa.int64()), "v": pa.array([name(c) for _, c in found], pa.int64())})
 
+        name = lambda k: ids[k] if labels[k] is None else labels[k]
         for batch in batches:
             heads = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
             for i, tokens in _sets(batch, size):
@@ -283,8 +287,15 @@ def chunk_links(rows: DataFrame, size: int, limit: Threshold) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFrame, sizes: DataFrame, size: int, limit: Threshold, chunk_sets: int = CHUNK_SETS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(u, v): links that connect what links connect, from blocks (id, component) and set sizes (doc_id, n).
+def relabelled(labels: DataFrame, more: DataFrame, n: int) -> DataFrame:
+    """`labels` (id, component) after `more` (id, component) of about `n` rows tied some of its components, or ids it has not."""
+    to = more.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    known = labels.join(small_side(to, n, FEW), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return known.unionByName(more.join(labels.select("id"), "id", "left_anti"))
+
+
+def components_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFrame, sizes: DataFrame, size: int, limit: Threshold, chunk_sets: int = CHUNK_SETS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """(id, component) of what links connect, from blocks (id, component) and set sizes (doc_id, n).
 
     A set that asks goes only to the chunks that hold a set of another component with one of its rarest shingles.
     """
@@ -296,13 +307,13 @@ def links_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFrame, si
     with_text = lambda rows, n: documents.select("doc_id", "text").join(small_side(rows, n, FEW), "doc_id")
     base = members.select("doc_id", "block", "chunk", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("label"))
     links = stored(chunk_links(with_text(base, count), size, limit), "links")
+    labels = connected(links)
     if not large:
-        return links
+        return labels
     members = stored(members.where("parts > 1"), "large-blocks")
     asked_before = None
     for step in ("one of each", "all the others"):
-        labels = connected(links).withColumnRenamed("id", "doc_id")
-        marked = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+        marked = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         marked = stored(marked, "marked")
         if step == "one of each":
             one = marked.groupBy("block", "chunk", "label").agg(F.min("doc_id").alias("doc_id"))
@@ -310,8 +321,8 @@ def links_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFrame, si
             asked_before, lists = asking, prefix
         else:
             # a set that has asked met all its links; the largest component need not ask, as the others do
-            held = marked.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-            rest = marked.join(held, "block").where("label <> largest").select("doc_id")
+            largest = marked.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
+            rest = marked.join(largest, "block").where("label <> largest").select("doc_id")
             asking = stored(rest.join(asked_before, "doc_id", "left_anti"), "asking-ids")
             if asking.isEmpty():
                 break
@@ -326,9 +337,10 @@ def links_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFrame, si
         # only the chunks that are asked, each with the sets it holds
         asked = rows.select("block", "chunk").distinct()
         rows = stored(rows.unionByName(marked.join(asked, ["block", "chunk"], "left_semi").select("doc_id", "block", "chunk", F.lit(0).alias("asks"), "label")), "asking")
-        found = chunk_links(with_text(rows, rows.count()), size, limit)
-        links = stored(links.unionByName(found), "links")
-    return links
+        found = stored(chunk_links(with_text(rows, rows.count()), size, limit), "links")
+        if n := found.count():
+            labels = stored(relabelled(labels, connected(found), 2 * n), "labels")
+    return labels
 
 
 def similar(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -343,7 +355,6 @@ def similar(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100)
     suspects = classes.join(shared, "a", "left").where(F.col("low") - F.coalesce("shared", F.lit(0)) <= spare)
     suspects = stored(suspects.select("doc_id", "n"), "suspects")
     prefix, tied = blocks(documents, suspects, suspects.count(), size, limit)
-    links = links_of_blocks(documents, prefix, tied, suspects, size, limit)
-    found = connected(links).select(F.col("id").alias("doc_id"), "component")
+    found = components_of_blocks(documents, prefix, tied, suspects, size, limit).withColumnRenamed("id", "doc_id")
     named = classes.join(found, "doc_id", "left").select("n", "a", "b", F.coalesce("component", "doc_id").alias("component_id"))
     return rows.join(named, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

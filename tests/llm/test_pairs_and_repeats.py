@@ -36,7 +36,7 @@ def jaccard_components(rows, size, num, den):
 
 @pytest.mark.parametrize("size,num,den,chunk", [(3, 90, 100, 256), (5, 80, 100, 256), (3, 60, 100, 2)])
 def test_jaccard_components_equal_brute_force(spark, monkeypatch, size, num, den, chunk):
-    monkeypatch.setattr(J.links_of_blocks, "__defaults__", (chunk, J.CHUNK_TOKENS))
+    monkeypatch.setattr(J.components_of_blocks, "__defaults__", (chunk, J.CHUNK_TOKENS))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar(cases.frame(spark, extra=True), size, num, den).collect()}
     assert got == jaccard_components(cases.rows(), size, num, den)
 
