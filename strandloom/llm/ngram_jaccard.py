@@ -39,6 +39,7 @@ SMALL_SET = 64
 BUCKET_TOKENS = 1 << 20
 FLUSH_TOKENS = 4 << 20
 FLUSH_SETS = 60_000
+PART_CLASSES = 1 << 16
 CHUNK_SETS, CHUNK_TOKENS = 2048, 2 << 20
 FEW = 1_000_000
 NEAR_WORDS, NEAR = 5, (80, 100)
@@ -102,8 +103,11 @@ def set_rows(documents: DataFrame, size: int, limit: Threshold) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, low long, a long, b long")
 
 
-def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: int) -> DataFrame:
-    """(a, shared): how many of a class's low hashes occur in another class too; classes with none are left out."""
+def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: int, parts: int = 1) -> DataFrame:
+    """(a, shared): how many of a class's low hashes occur in another class too; classes with none are left out.
+
+    Each bucket of hashes sends its counts on packed, one row for each of `parts` of the classes, where they are added.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -160,10 +164,22 @@ def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: in
         t, a = t[order], a[order]
         new = np.concatenate(([True], (t[1:] != t[:-1]) | (a[1:] != a[:-1]))) if len(t) else np.zeros(0, bool)
         names, n = np.unique(a[new], return_counts=True)
-        return pa.table({"a": pa.array(names, pa.int64()), "shared": pa.array(n, pa.int64())})
+        part = (names.astype(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        names, n, part = names[order], n[order].astype(np.int32), part[order]
+        every, at = np.unique(part, return_index=True)
+        cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
+        packed = [pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (names, n)]
+        return pa.table({"part": pa.array(every, pa.int32()), "names": packed[0], "counts": packed[1]})
+
+    def add(group: pa.Table) -> pa.Table:
+        names = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["names"]])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in group["counts"]])
+        every, at = np.unique(names, return_inverse=True)
+        return pa.table({"a": pa.array(every, pa.int64()), "shared": pa.array(np.bincount(at, n).astype(np.int64), pa.int64())})
 
     packed = documents.select("text").mapInArrow(pack, "bucket int, sets binary, tokens binary, owners binary")
-    return packed.groupBy("bucket").applyInArrow(count, "a long, shared long").groupBy("a").agg(F.sum("shared").alias("shared"))
+    return packed.groupBy("bucket").applyInArrow(count, "part int, names binary, counts binary").groupBy("part").applyInArrow(add, "a long, shared long")
 
 
 def blocks(documents: DataFrame, suspects: DataFrame, few: int, size: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
@@ -349,8 +365,8 @@ def similar(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(set_rows(documents, size, limit), "sets")
     classes = stored(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low")), "classes")
-    tokens = classes.agg(F.coalesce(F.sum("low"), F.lit(0))).first()[0]
-    shared = shared_counts(documents, size, limit, max(1, -(-tokens // BUCKET_TOKENS)))
+    n_classes, tokens = classes.agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0))).first()
+    shared = shared_counts(documents, size, limit, max(1, -(-tokens // BUCKET_TOKENS)), max(1, -(-n_classes // PART_CLASSES)))
     spare = F.col("n") - F.ceil(F.col("n") * num / den)
     suspects = classes.join(shared, "a", "left").where(F.col("low") - F.coalesce("shared", F.lit(0)) <= spare)
     suspects = stored(suspects.select("doc_id", "n"), "suspects")
