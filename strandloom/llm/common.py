@@ -53,6 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(df: DataFrame, key: str, name: str, text: str = "text") -> tuple[DataFrame, bool]:
+    """`df` with a column `name` that tells its rows apart and ascends with `key` (nulls last), and whether `key` did.
+
+    Where `key` is null or repeated somewhere the rows are sorted, numbered and stored once.
+    """
+    rows, keys = df.agg(F.count("*"), F.count_distinct(key)).first()
+    if rows == keys:
+        return df.withColumn(name, F.col(key).cast("long")), True
+    ordered = df.orderBy(F.col(key).asc_nulls_last(), F.xxhash64(text))
+    return stored(ordered.withColumn(name, F.monotonically_increasing_id()), "identified"), False
+
+
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint for a join side whose counted `rows` are within `limit`; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df

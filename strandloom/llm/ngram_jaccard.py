@@ -18,7 +18,9 @@ its smallest doc_id; only classes are compared.
 
 Defined cases: null text and text without words have an empty set and link with nothing (a component of one). With
 fewer words than a shingle the whole sequence is the one shingle. Rows that repeat a doc_id and text are equal and get
-equal rows. Extra columns are ignored. Empty tables give no rows.
+equal rows. Where a doc_id is null or repeated every row is searched by a number of its own, so a prefix holds distinct
+shingles and rows of one doc_id and several texts are compared each by its text; a component is named by its smallest
+doc_id, or null where none of its rows has one. Extra columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import mixed, shingle_sets, slices, small_side, stored, utf8
+from strandloom.llm.common import identified, mixed, shingle_sets, slices, small_side, stored, utf8
 from strandloom.llm.components import connected
 
 FULL = 1 << 63
@@ -183,7 +185,10 @@ def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: in
 
 
 def blocks(documents: DataFrame, suspects: DataFrame, few: int, size: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, c, t): the rarest shingles of `suspects` (doc_id, n) by size class; (id, component): the ties they make."""
+    """(doc_id, c, t): the rarest shingles of `suspects` (doc_id, n) by size class; (id, component): the ties they make.
+
+    Each doc_id of `documents` is there once: a repeated row would fill the prefix with repeats of one shingle.
+    """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,8 +366,19 @@ def components_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFram
 
 def similar(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of `documents` (doc_id, text): links at Jaccard num / den over `size` words."""
+    documents, unique = identified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "_id")
+    if unique:
+        return components(documents.drop("_id"), size, num, den)
+    found = stored(components(documents.select(F.col("_id").alias("doc_id"), "text"), size, num, den).withColumnRenamed("doc_id", "_id"), "numbered")
+    own = stored(documents.select("_id", "doc_id").join(found, "_id"), "named")
+    # numbers ascend with doc_id: the row that names a component has its smallest
+    names = own.where(F.col("_id") == F.col("component_id")).select("component_id", F.col("doc_id").alias("_name"))
+    return own.join(names, "component_id").select("doc_id", "n_shingles", F.col("_name").alias("component_id"))
+
+
+def components(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """`similar` of `documents` whose doc_ids are all there and distinct."""
     limit = Threshold(num, den)
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(set_rows(documents, size, limit), "sets")
     classes = stored(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low")), "classes")
     n_classes, tokens = classes.agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0))).first()

@@ -46,6 +46,24 @@ def test_jaccard_of_an_empty_table_and_of_repeated_rows(spark):
     assert J.similar(cases.frame(spark)).count() == len(cases.rows())
 
 
+def test_jaccard_links_near_copies_of_rows_that_stand_several_times(spark):
+    rows = []
+    for k in range(12):  # 46 words are 44 shingles; without the last four words 40 of them: 40 / 44 links at 0.9
+        words = [f"u{k}x{j}" for j in range(46)]
+        rows += [(2 * k, " ".join(words))] * 5 + [(2 * k + 1, " ".join(words[:42]))]
+    got = J.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = jaccard_components(rows, 3, 90, 100)
+    assert sorted(tuple(r) for r in got) == sorted((i, *want[i]) for i, _ in rows)
+    assert all(want[2 * k + 1][1] == 2 * k for k in range(12))
+
+
+def test_jaccard_of_null_and_clashing_doc_ids(spark):
+    one, two, three = (" ".join(f"{c}{j}" for j in range(50)) for c in "abc")
+    rows = [(7, one), (7, two), (8, one), (9, two + " more"), (None, two), (None, three), (None, None), (5, three + " end")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in J.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(7, 48, 7), (7, 48, 7), (8, 48, 7), (9, 49, 7), (0, 48, 7), (0, 48, 5), (0, 0, 0), (5, 49, 5)])
+
+
 def test_search_finds_all_links_of_random_sets():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 40, 200)
