@@ -49,3 +49,22 @@ def test_language_rejects_what_is_no_language(spark):
     junk = spark.createDataFrame([(10**6, "12 !!"), (10**6 + 1, None), (10**6 + 2, "qqq xxz zqk kkkk jjj vvv qx zzz")], "doc_id long, text string")
     got = P.language(spark, docs.unionByName(junk, allowMissingColumns=True), SMALL)
     assert got.where(F.col("doc_id") >= 10**6).count() == 0 and got.count() == docs.count()
+
+
+def test_rows_of_null_and_clashing_doc_ids_are_judged_one_by_one(spark):
+    text = lambda k, n=40: " ".join(f"{'abcdefgh'[k]}{j}" for j in range(n))
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text is not null").first().text
+    plain = [(1, text(0)), (1, text(1)), (None, text(2)), (None, text(3)), (4, text(4)), (4, text(4)), (5, ""), (5, ""), (5, None), (None, ""), (None, ""), (6, text(0) + " end")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in plain], "doc_id long, text string, source string")
+    key = lambda rows: sorted(rows, key=repr)
+    near = P.near_duplicates(spark, docs, SMALL)
+    kept = [(1, text(0)), (1, text(1)), (None, text(2)), (None, text(3)), (4, text(4)), (5, ""), (5, None), (None, ""), (None, "")]
+    assert key(texts(near)) == key(kept)
+    leaks = spark.createDataFrame([(1, item, "s"), (None, item, "s")], docs.schema)
+    assert key(texts(P.decontaminate(spark, near.unionByName(leaks), SMALL))) == key(kept)
+    # one source: all its words are the target, so every row with words is taken once
+    mixed = P.mix(spark, docs, SMALL)
+    assert mixed.columns == docs.columns and key(texts(mixed)) == key([r for r in plain if r[1]])
+    two = docs.unionByName(spark.createDataFrame([(None, text(5), "t")] * 3 + [(1, text(6), None)], docs.schema))
+    want = sum(r.taken for r in mixing.mix(two).collect())
+    assert sum(len(t.split()) for _, t in texts(P.mix(spark, two, SMALL))) == want
