@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and the token-efficiency test for random strings the patterns miss.
 
 A byte-pair vocabulary packs ordinary words into few tokens and random strings into many, so a long unbroken
-string of few characters per token is likely a key. Digests (plain hex of a digest's length), UUIDs, and
-identifiers (words joined by separators, no mixture of letters and digits inside them) are excluded first.
+string of few characters per token is likely a key. Strings shorter than `LONG` must lie under a lower ratio, as few
+tokens say less. Digests (plain hex of a digest's length), UUIDs, dates with times and plain numbers are excluded first.
+What looks like an identifier (runs of letters or of digits joined by separators) is judged by its letter runs alone.
 
 Defined cases: null text is empty; it has no spans and the digest of the empty list. Spans are code points, end
 exclusive. Texts are scanned whole; the spans of repeated rows are equal. Extra columns are kept; those
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-RATIO = 2.2
-SHORTEST = 20
+RATIO, SHORT_RATIO = 2.2, 1.8
+SHORTEST, LONG = 12, 20
+RUN = 3
 LONGEST = 4096
 
 # The three base patterns and their least lengths.
@@ -35,6 +37,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
 _IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*")
+_STAMP = re.compile(r"[0-9]{4}[-_/]?[0-9]{2}[-_/]?[0-9]{2}[tT_-][0-9]{2,6}[zZ]?(?:[+-][0-9]{2,4})?")
+_LETTERS = re.compile(r"[A-Za-z]{%d,}" % RUN)
 _PIECES = r"""[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"""
 
 
@@ -48,14 +52,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, encoding, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Long strings of fewer than `ratio` characters a token that are neither digests nor identifiers."""
+    """Strings of fewer than `ratio` characters a token (`SHORT_RATIO` if short) that are no digests, dates or numbers."""
     found = []
     for m in _CANDIDATE.finditer(text):
         value = m[0]
-        if _IDENTIFIER.fullmatch(value) or _DIGEST.fullmatch(value) or _UUID.fullmatch(value):
+        if _DIGEST.fullmatch(value) or _UUID.fullmatch(value) or _STAMP.fullmatch(value):
             continue
-        tokens = sum(len(encoding.encode_ordinary(value[k : k + LONGEST])) for k in range(0, len(value), LONGEST))
-        if len(value) < ratio * tokens:
+        parts = _LETTERS.findall(value) if _IDENTIFIER.fullmatch(value) else [value]
+        n = sum(map(len, parts))
+        if n < SHORTEST:  # an identifier of short runs and numbers
+            continue
+        tokens = sum(len(encoding.encode_ordinary(x[k : k + LONGEST])) for x in parts for k in range(0, len(x), LONGEST))
+        if n < (ratio if n >= LONG else min(ratio, SHORT_RATIO)) * tokens:
             found.append((m.start(), 3, m.end()))
     return found
 
