@@ -4,6 +4,10 @@ A text and the known licence texts are brought to one canonical form: lower case
 equivalent spellings replaced by one, and every run of other characters than letters and digits made one space.
 Digests of entire canonical texts are then hash-joined. Texts that only contain a licence do not match.
 
+A text of no known digest is looked up once more in its plain form: without its title, `All rights reserved` and copyright
+lines that hold no year. The plain forms known are those of `KNOWN` and of the full texts in `licences/`, whole and up to
+their end of terms; lists numbered or not. `digest` is always that of the canonical form.
+
 Defined cases: a null text, and one with nothing left after normalising, match nothing and have a null digest; ties
 between licences of one canonical text go to the smaller name. Repeated rows each get their row. Extra columns but
 the text are kept, those of the result's names replaced. An empty table gives no rows.
@@ -11,6 +15,9 @@ the text are kept, those of the result's names replaced. An empty table gives no
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +38,14 @@ SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "lic
 
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$"
 
+# What the plain form lacks besides: a title, lines that reserve all rights, and copyright lines without a year that say (c) or stand alone.
+TITLE = r"\A[^a-z0-9]*(?:the )?(?:mit|isc|bsd|new bsd|simplified bsd|modified bsd|[23]-clause bsd|zlib|boost software|apache|gnu|mozilla public|unlicense|creative commons|do what the fuck)(?:[^a-z0-9\n][^\n]{0,60})?(?:\n|\z)"
+RESERVED = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+YEARLESS = r"(?m)^[^a-z0-9\n]*copyright[ \t]*(?:\(c\)|©)[^\n]*$"
+ALONE = r"(?:\A|\n[ \t]*\n)[^a-z0-9\n]*copyright [^\n]*(?=\n[ \t]*\n)"
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+HINT = r"copyright|licen[cs]e|permission"  # each known text says one of these
+
 
 def canonical(text: Column) -> Column:
     """Lower case without copyright lines, one space between words, one spelling for each word."""
@@ -46,6 +61,31 @@ def digest(text: Column) -> Column:
     return F.when(F.length(form) > 0, F.sha2(form, 256))
 
 
+def plain_digest(text: Column) -> Column:
+    """The digest of the plain form, null for texts that say none of the words every licence has."""
+    out = F.regexp_replace(F.lower(text), "\r\n?", "\n")
+    for pattern in (COPYRIGHT_LINE, YEARLESS, RESERVED):
+        out = F.regexp_replace(out, pattern, "")
+    out = F.regexp_replace(F.regexp_replace(out, ALONE, "\n\n"), TITLE, "")
+    return F.when(F.lower(text).rlike(HINT), digest(F.regexp_replace(out, ALONE, "\n\n")))
+
+
+def plain_texts() -> list[tuple[str, str]]:
+    """(licence, text) of all forms that are known by their plain digest."""
+    full = [(p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("licences").glob("*.txt"))]
+    ended = [(name, text[: text.index(END_OF_TERMS) + len(END_OF_TERMS)]) for name, text in full if END_OF_TERMS in text]
+    begun = [(name, text[: text.index(END_OF_TERMS)]) for name, text in full if END_OF_TERMS in text]
+    unnumbered = [(name, re.sub(r"(?m)^ *[0-9]\. ", "", text)) for name, text in full if name.startswith("BSD")]
+    secure = [(name, text.replace("http://", "https://")) for name, text in full]
+    return [*KNOWN.items(), *full, *ended, *begun, *unnumbered, *secure]
+
+
+def known_plain(spark: SparkSession) -> DataFrame:
+    """Licence names and plain digests, one row a digest."""
+    rows = spark.createDataFrame(plain_texts(), "license string, body string")
+    return rows.groupBy(plain_digest(F.col("body")).alias("license_digest")).agg(F.min("license").alias("license")).where("license_digest is not null")
+
+
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """Licence names and canonical digests, one row a digest."""
     rows = spark.createDataFrame(sorted((KNOWN if texts is None else texts).items()), "license string, body string")
@@ -53,9 +93,17 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame
 
 
 def scan(documents: DataFrame, licences: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """`documents` without its text, with its canonical digest and the licence of that digest, or null."""
+    """`documents` without its text, with its canonical digest and the licence of that digest or of its plain form, or null.
+
+    With a table of `licences` (license_digest, license) of its own, canonical digests alone are looked up.
+    """
     columns = [c for c in documents.columns if c not in (text, "digest", "license")]
-    licences = known(documents.sparkSession) if licences is None else licences
-    rows = documents.select(F.struct(*columns).alias("_row"), digest(F.col(text)).alias("_d"))
-    side = small_side(licences.select(F.col("license_digest").alias("_k"), F.col("license").alias("_license")), licences.count(), 100_000)
-    return rows.join(side, F.col("_d") == F.col("_k"), "left").select("_row.*", F.col("_d").alias("digest"), F.col("_license").alias("license"))
+    spark, own = documents.sparkSession, licences is not None
+    licences = licences if own else known(spark)
+    rows = documents.select(F.struct(*columns).alias("_row"), digest(F.col(text)).alias("_d"), (F.lit(None).cast("string") if own else plain_digest(F.col(text))).alias("_p"))
+    side = lambda df, key, name: small_side(df.select(F.col("license_digest").alias(key), F.col("license").alias(name)), df.count(), 100_000)
+    found = rows.join(side(licences, "_k", "_license"), F.col("_d") == F.col("_k"), "left")
+    if own:
+        return found.select("_row.*", F.col("_d").alias("digest"), F.col("_license").alias("license"))
+    found = found.join(side(known_plain(spark), "_j", "_plain"), F.col("_p") == F.col("_j"), "left")
+    return found.select("_row.*", F.col("_d").alias("digest"), F.coalesce("_license", "_plain").alias("license"))

@@ -151,6 +151,18 @@ def test_licences_match_whole_texts_only(spark):
     assert license_scan.scan(cases.empty(spark)).collect() == []
 
 
+def test_licences_match_in_their_usual_forms(spark):
+    full = {p.stem: p.read_text() for p in (license_scan.Path(license_scan.__file__).parent / "licences").glob("*.txt")}
+    mit, isc = license_scan.KNOWN["MIT"], license_scan.KNOWN["ISC"]
+    cases_ = [("MIT", "MIT License\n\nCopyright (c) 2020 A. B.\n\n" + mit), ("MIT", "The MIT License (MIT)\r\n\r\nCopyright (c) A. B.\r\n\r\n" + mit), ("ISC", "ISC License\n\nCopyright The Authors\n\n" + isc), ("MIT", "Copyright 2020 A. B.\nAll rights reserved.\n\n" + mit)]
+    cases_ += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, A. B.\nAll rights reserved.\n\n" + full["BSD-3-Clause"]), ("BSD-2-Clause", full["BSD-2-Clause"].replace("1. Red", " * Red").replace("2. Red", " * Red"))]
+    cases_ += [(name, text) for name, text in full.items()] + [("Apache-2.0", full["Apache-2.0"].split("   APPENDIX")[0]), ("Unlicense", full["Unlicense"].replace("http:", "https:"))]
+    cases_ += [(None, "MIT License\n\n" + mit + " and more"), (None, "MIT License"), (None, "Copyright (c) A. B.")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases_)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan(docs).collect()}
+    assert {k: (n, got[k]) for k, (n, _) in enumerate(cases_) if got[k] != n} == {} and len(full) == 16
+
+
 def base_spans(text):
     assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 12]
