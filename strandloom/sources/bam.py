@@ -2,13 +2,15 @@
 
 A BAM is a series of BGZF blocks, each compressed alone, so a file is cut into splits by bytes: a split begins at the
 first block whose header is found at or after its start. Where its first record begins is found by checking that a chain
-of records parses; records that run over the end of a split are finished from the next blocks. Paths are read through
+of whole records parses, over as many blocks as that takes; where no chain tells, the records are counted off from the
+file's beginning. Records that run over the end of a split are finished from the next blocks. Paths are read through
 Python's file system, so they must be mounted on every executor.
 """
 
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 import struct
 import zlib
@@ -97,17 +99,61 @@ def header(path: str) -> tuple[list[tuple[str, int]], int, int]:
     return [], 0, 0
 
 
-def _plausible(data: bytes, k: int, refs: int, depth: int = 3) -> bool:
-    for _ in range(depth):
+def _plausible(data: bytes, k: int, refs: int, ended: bool, depth: int = 3) -> bool | None:
+    """Whether `depth` whole records, or all up to the file's end, begin at k; None if `data` does not reach that far."""
+    for n in range(depth):
         if k + 36 > len(data):
-            return True
+            return (n > 0 and k == len(data)) if ended else None
         size, ref, pos, name, _, _, cigar, _, seq, mref, mpos = struct.unpack_from("<iiiBBHHHiii", data, k)
         if size < 32 or name < 1 or seq < 0 or not -1 <= ref < refs or not -1 <= mref < refs or pos < -1 or mpos < -1 or size < 32 + name + 4 * cigar + (seq + 1) // 2 + seq:
             return False
         if k + 36 + name <= len(data) and data[k + 35 + name] != 0:
             return False
         k += 4 + size
-    return True
+    return True if k <= len(data) else False if ended else None
+
+
+def first_record(f, at: int, end: int, refs: int) -> int | None:
+    """Where the first record that begins in the blocks from `at` to before `end` begins in their contents.
+
+    None if none does: a later one is the first, or none is left. Raises LookupError if no chain of records tells.
+    """
+    data, own, seen, unsure = bytearray(), None, 0, []
+    for offset, part in itertools.chain(blocks(f, at), [(None, b"")]):
+        if own is None and (offset is None or offset >= end):
+            own = len(data)
+        data += part
+        left = []
+        for x in itertools.chain(unsure, range(seen, len(data))):
+            found = _plausible(data, x, refs, offset is None)
+            if found:
+                return x if own is None or x < own else None
+            if found is None:
+                left.append(x)
+        unsure, seen = left, len(data)
+    raise LookupError("no chain of records")
+
+
+def counted_record(path: str, at: int, end: int) -> int | None:
+    """As `first_record`, counted off from the file's first record."""
+    _, block, k = header(path)
+    with open(path, "rb") as f:
+        data, base, own = b"", None, None  # base, own: where the contents of the blocks from `at` and from `end` on begin in data
+        for offset, part in itertools.chain(blocks(f, block), [(None, b"")]):
+            if base is None and offset is not None and offset >= at:
+                base = len(data)
+            if own is None and (offset is None or offset >= end):
+                own = len(data)
+            data += part
+            while k + 4 <= len(data) and (base is None or k < base):
+                k += 4 + struct.unpack_from("<i", data, k)[0]
+            if base is not None and (k >= base and (own is not None or k < len(data))):
+                return k - base if own is None or k < own else None
+            gone = min(k, len(data)) if base is None else 0
+            data, k = data[gone:], k - gone
+    if base is None or k > len(data):
+        raise ValueError(f"{path} ends within a record")
+    return None
 
 
 def _tags(data: bytes, k: int, end: int) -> dict:
@@ -150,21 +196,24 @@ def records(split: Split) -> Iterator[dict]:
     refs, block, inner = header(split.path)
     with open(split.path, "rb") as f:
         if split.start <= block < split.end:
-            at, k, found = block, inner, True
+            at, k = block, inner
         else:
-            at, k, found = first_block(f, max(split.start, block), split.end), 0, False
+            at = first_block(f, max(split.start, block), split.end)
             if at is None:
                 return
+            try:
+                k = first_record(f, at, split.end, len(refs))
+            except LookupError:
+                k = counted_record(split.path, at, split.end)
+            if k is None:
+                return
         data, own = b"", None  # own: bytes of data from blocks of the split
         for offset, part in blocks(f, at):
             if offset >= split.end and own is None:
                 own = len(data)
             data += part
-            if not found:
-                k = next((x for x in range(min(len(data), 4 * LARGEST)) if _plausible(data, x, len(refs))), None)
-                if k is None:
-                    return
-                found = True
+            if k >= len(data) and own is None:
+                continue
             while k + 4 <= len(data) and (own is None or k < own):
                 size = struct.unpack_from("<i", data, k)[0]
                 if k + 4 + size > len(data):

@@ -50,6 +50,23 @@ def test_bam_reads_every_record_once(spark, bam_file, split):
     assert [tuple(r) for r in bam.chromosomes(spark, manifest).collect()] == [(0, 0, "chr1", 9999), (0, 1, "chr2", 9999)]
 
 
+@pytest.mark.parametrize("longest_last", [False, True])
+def test_bam_records_longer_than_blocks_and_splits_are_read_once(tmp_path, longest_last):
+    rng = random.Random(2)
+    data = b"BAM\1" + struct.pack("<iii", 0, 1, 5) + b"chr1\0" + struct.pack("<i", 9999)
+    for k in range(60):
+        seq = rng.choice([20, 3000, 40_000]) if k < 59 or not longest_last else 90_000
+        name, bases = f"read{k}".encode() + b"\0", rng.choice([rng.randbytes((seq + 1) // 2), bytes((seq + 1) // 2)])
+        body = struct.pack("<iiBBHHHiiii", 0, k, len(name), 60, 0, 1, 0, seq, 0, k, 1) + name + struct.pack("<I", seq << 4) + bases + rng.randbytes(seq) + b"nMi" + struct.pack("<i", k)
+        data += struct.pack("<i", len(body)) + body
+    path = tmp_path / "long.bam"
+    path.write_bytes(b"".join(bgzf(data[x : x + 9000]) for x in range(0, len(data), 9000)) + bgzf(b""))
+    size = path.stat().st_size
+    for step in (7000, 20_000, size):
+        got = [r["nm"] for a in range(0, size, step) for r in bam.records(bam.Split(str(path), a, min(a + step, size)))]
+        assert got == list(range(60))
+
+
 def test_manifest(spark, tmp_path):
     path = tmp_path / "list"
     path.write_text("a.bam a.bai paired_end\n\nb.bam  b.bai\tont\n")
