@@ -54,14 +54,17 @@ def shard_by_bytes(documents: DataFrame, shards: int = 40, text: str = "text", k
     cells = celled.groupBy("_cell", "_hk", "_hs").agg(F.sum("_size").alias("_b"), F.count("*").alias("_r"))
     # the prefix sum runs over at most 2^CELL_BITS + HOT_PARTS * SLICES rows
     before = Window.orderBy("_cell", "_hk", "_hs").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("_cell", "_hk", "_hs", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_r0"))
+    starts = cells.select("_cell", "_hk", "_hs", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_r0"), "_b")
+    # the slices of a hot text follow each other: its copies' common bytes
+    slices = Window.partitionBy("_cell", "_hk")
+    starts = starts.withColumns({"_h0": F.min("_b0").over(slices), "_h1": F.max(F.col("_b0") + F.col("_b")).over(slices)}).drop("_b")
     placed = celled.join(F.broadcast(starts), ["_cell", "_hk", "_hs"])
     cell = Window.partitionBy("_cell", "_hk", "_hs").orderBy("_h", "_key", "_size")
     run = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     copies = Window.partitionBy("_cell", "_hk", "_hs", "_h")
     at = placed.withColumns({"_end": F.col("_b0") + F.sum("_size").over(run), "_rank": F.col("_r0") + F.row_number().over(cell) - 1})
-    at = at.withColumn("_start", F.col("_end") - F.col("_size")).withColumns({"_g0": F.min("_start").over(copies), "_g1": F.max("_end").over(copies)})
-    together = (F.col("_hk") == 0) & (F.col("_g1") - F.col("_g0") <= F.lit(total / shards / WHOLE))
+    at = at.withColumn("_start", F.col("_end") - F.col("_size")).withColumns({"_g0": F.when(F.col("_hs") > 0, F.col("_h0")).otherwise(F.min("_start").over(copies)), "_g1": F.when(F.col("_hs") > 0, F.col("_h1")).otherwise(F.max("_end").over(copies))})
+    together = F.col("_g1") - F.col("_g0") <= F.lit(total / shards / WHOLE)
     middle = F.when(together, (F.col("_g0") + F.col("_g1")) / 2).otherwise((F.col("_start") + F.col("_end")) / 2)
     shard = F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards / max(1, total)))).cast("int")
     cut = stored(at.select("_row", "_size", "_crc", shard.alias("shard"), "_rank"), "shards")

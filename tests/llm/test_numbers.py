@@ -121,3 +121,12 @@ def test_mix_reaches_its_targets(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
     assert math.isclose(sum({r.source: r.target for r in first}.values()), sum(r["size"] for r in first))
     assert mixing.mix(cases.empty(spark)).collect() == []
+
+
+def test_light_texts_of_many_copies_stay_in_one_shard(spark):
+    n = 1100  # copies: more than the least count of a hot text; 61 texts of 1 / 30 of a shard each, one over the cut
+    docs = spark.range(61 * n).select(F.col("id").alias("doc_id"), F.format_string("x%02d", F.floor(F.col("id") / n)).alias("text"))
+    got = sharding.shard_by_bytes(docs, 2).cache()
+    assert got.count() == 61 * n and got.select("shard").distinct().count() == 2
+    assert got.groupBy(F.floor(F.col("doc_id") / n)).agg(F.count_distinct("shard").alias("s")).where("s > 1").count() == 0
+    assert got.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("whole")).where("not whole").count() == 0
