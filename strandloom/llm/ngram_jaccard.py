@@ -10,8 +10,8 @@ its smallest doc_id; only classes are compared.
    and a partner's size lies within the threshold of the set's own. Sets that share such a shingle and a class of sizes
    are tied, and the components of these ties are blocks: links never leave a block.
 3. Each block is searched by DivideSkip: for each query set the lists of its shingles are parted by length, the short
-   ones are merged into counts, and sets whose count can still reach T are probed for in the long ones by binary
-   search. Pairs already connected are not probed. Blocks are cut into chunks of bounded size: first each
+   ones are merged (each is sorted, so a merge sort of their runs in numpy takes the heap's place) and sets that stand in
+   enough of them to reach T still are probed for in the long ones by binary search. Pairs already connected are not probed. Blocks are cut into chunks of bounded size: first each
    chunk is searched within, then one set of each component found is searched for in the block's other chunks, and at
    last every set outside the block's largest component; each only in chunks that hold one of its rarest shingles. A pair
    across chunks that is never probed lies in one component already, so no component is split.
@@ -43,6 +43,7 @@ FLUSH_TOKENS = 4 << 20
 FLUSH_SETS = 60_000
 PART_CLASSES = 1 << 16
 CHUNK_SETS, CHUNK_TOKENS = 2048, 2 << 20
+TASK_SETS = 512
 FEW = 1_000_000
 NEAR_WORDS, NEAR = 5, (80, 100)
 SKIP = 0.0085  # weight of a merge step against a probe in the choice of how many lists to skip
@@ -170,7 +171,8 @@ def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: in
         order = np.argsort(part, kind="stable")
         names, n, part = names[order], n[order].astype(np.int32), part[order]
         every, at = np.unique(part, return_index=True)
-        cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
+        ends = np.append(at, len(part))  # a bucket in which nothing is shared has no part, and sends no row
+        cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
         packed = [pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (names, n)]
         return pa.table({"part": pa.array(every, pa.int32()), "names": packed[0], "counts": packed[1]})
 
@@ -215,9 +217,16 @@ def blocks(documents: DataFrame, suspects: DataFrame, few: int, size: int, limit
 
 
 class _Forest:
-    def __init__(self, labels: list):
-        first: dict = {}
-        self.up = [first.setdefault(x, k) if x is not None else k for k, x in enumerate(labels)]
+    """Which sets are connected. Sets of one label are so from the start."""
+
+    def __init__(self):
+        self.up: list[int] = []
+        self.first: dict = {}
+
+    def add(self, label) -> int:
+        k = len(self.up)
+        self.up.append(k if label is None else self.first.setdefault(label, k))
+        return k
 
     def find(self, k: int) -> int:
         while self.up[k] != k:
@@ -229,82 +238,108 @@ class _Forest:
         self.up[self.find(a)] = self.find(b)
 
 
-def search(sets: list[np.ndarray], labels: list, n_index: int, limit: Threshold) -> Iterator[tuple[int, int]]:
-    """Links that connect more than is connected: of the first `n_index` sets among themselves if there are no others,
-    else of each later set with the first ones. Sets of one label count as connected.
-    """
-    within = len(sets) == n_index
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(n_index), sizes[:n_index])
-    tokens = np.concatenate(sets[:n_index]) if n_index else np.zeros(0, np.int64)
-    order = np.argsort(tokens, kind="stable")  # each list's owners ascend
-    owner, (every, starts, lengths) = owner[order], np.unique(tokens[order], return_index=True, return_counts=True)
-    lists = np.repeat(np.arange(len(every)), lengths) * n_index + owner  # ascends: one array for all binary searches
-    forest = _Forest(labels)
-    for q in range(1, n_index) if within else range(n_index, len(sets)):
-        n, t = int(sizes[q]), limit.least(int(sizes[q]))
-        at = np.minimum(np.searchsorted(every, sets[q]), max(0, len(every) - 1))
-        if not len(every):
+class Lists:
+    """The inverted lists of some sets, and DivideSkip over them. Sets may ask one after the other, without end."""
+
+    def __init__(self, sets: list[np.ndarray], labels: list, limit: Threshold):
+        self.limit, self.n = limit, len(sets)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(self.n), self.sizes)
+        tokens = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        order = np.argsort(tokens, kind="stable")  # each list's owners ascend
+        self.owner = owner[order]
+        self.every, self.starts, self.lengths = np.unique(tokens[order], return_index=True, return_counts=True)
+        self.lists = np.repeat(np.arange(len(self.every)), self.lengths) * self.n + self.owner  # ascends: one array for all binary searches
+        self.forest = _Forest()
+        for label in labels:
+            self.forest.add(label)
+
+    def among(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Links among the lists' own sets, each of them asked for the ones before it."""
+        for q in range(1, self.n):
+            yield from self.ask(sets[q], q, q)
+
+    def ask(self, own: np.ndarray, q: int, before: int | None = None) -> Iterator[tuple[int, int]]:
+        """(q, c) for links of the set `own`, node q of the forest, that connect more than is connected."""
+        limit, n, within = self.limit, len(own), before is not None
+        t = limit.least(n)
+        if not len(self.every):
             return
-        at = at[(every[at] == sets[q]) & (lengths[at] > within)]
+        at = np.minimum(np.searchsorted(self.every, own), len(self.every) - 1)
+        at = at[(self.every[at] == own) & (self.lengths[at] > within)]
         if len(at) < t:
-            continue
-        at = at[np.argsort(lengths[at], kind="stable")]
-        skip = min(t - 1, int(t / (SKIP * np.log2(max(2, lengths[at[-1]])) + 1)))
+            return
+        at = at[np.argsort(self.lengths[at], kind="stable")]
+        skip = min(t - 1, int(t / (SKIP * np.log2(max(2, self.lengths[at[-1]])) + 1)))
         short, long = at[: len(at) - skip], at[len(at) - skip :]
-        # merge: how often each set occurs in the short lists
-        own = np.repeat(starts[short] - np.concatenate(([0], np.cumsum(lengths[short])[:-1])), lengths[short])
-        merged = np.bincount(owner[own + np.arange(len(own))], minlength=n_index)
-        able = merged >= t - skip
-        able &= (sizes[:n_index] * limit.den >= limit.num * n) & (sizes[:n_index] * limit.num <= limit.den * n)
+        # merge the short lists: each ascends, and a merge sort of their runs brings equal owners together
+        place = np.repeat(self.starts[short] - np.concatenate(([0], np.cumsum(self.lengths[short])[:-1])), self.lengths[short])
+        merged = np.sort(self.owner[place + np.arange(len(place))], kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        met, times = merged[heads], np.diff(np.append(heads, len(merged)))
+        able = (times >= t - skip) & (self.sizes[met] * limit.den >= limit.num * n) & (self.sizes[met] * limit.num <= limit.den * n)
         if within:
-            able[q:] = False
-        found = np.flatnonzero(able)
-        for c in found[np.argsort(-merged[found], kind="stable")].tolist():
-            if forest.find(c) == forest.find(q):
+            able &= met < before
+        met, times = met[able], times[able]
+        for k in np.argsort(-times, kind="stable").tolist():
+            c, seen = int(met[k]), int(times[k])
+            if self.forest.find(c) == self.forest.find(q):
                 continue
-            need = limit.overlap(n, int(sizes[c]))
-            if merged[c] + len(long) < need:
+            need = limit.overlap(n, int(self.sizes[c]))
+            if seen + len(long) < need:
                 continue
-            probes = long * n_index + c
-            hit = np.searchsorted(lists, probes)
-            got = int(merged[c]) + int((lists[np.minimum(hit, len(lists) - 1)] == probes).sum())
-            if got >= need:
-                forest.join(c, q)
+            probes = long * self.n + c
+            hit = np.searchsorted(self.lists, probes)
+            if seen + int((self.lists[np.minimum(hit, len(self.lists) - 1)] == probes).sum()) >= need:
+                self.forest.join(c, q)
                 yield q, c
 
 
-def chunk_links(rows: DataFrame, size: int, limit: Threshold) -> DataFrame:
-    """(u, v) from rows (block, chunk, asks, label, doc_id, text): each chunk is one task's work, searched as a whole.
+def chunk_links(rows: DataFrame, size: int, limit: Threshold, tasks: int) -> DataFrame:
+    """(u, v) from rows (block, chunk, asks, label, doc_id, text): each chunk is searched as a whole, by one task.
 
-    The ends of a link are named by their labels, or by their doc_id where they have none.
+    A chunk's own sets are bounded and make its lists; sets that ask are read one after the other and not kept. The ends of
+    a link are named by their labels, or by their doc_id where they have none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, labels, sets, n_index = None, [], [], [], 0
+        key, names, labels, sets, lists = None, [], [], [], None
+        found: list[tuple[int, int]] = []
+
+        def send() -> pa.RecordBatch:
+            out = pa.record_batch({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+            found.clear()
+            return out
 
-        def links() -> pa.RecordBatch:
-            found = list(search(sets, labels, n_index, limit)) if n_index and len(sets) > 1 else []
-            return pa.record_batch({"u": pa.array([name(q) for q, _ in found], pa.int64()), "v": pa.array([name(c) for _, c in found], pa.int64())})
+        def close() -> None:
+            if lists is None and len(sets) > 1:  # nobody asks: the sets among themselves
+                found.extend((names[q], names[c]) for q, c in Lists(sets, labels, limit).among(sets))
 
-        name = lambda k: ids[k] if labels[k] is None else labels[k]
         for batch in batches:
             heads = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
             for i, tokens in _sets(batch, size):
                 block, chunk, asks, label, doc = heads[i]
                 if (block, chunk) != key:
-                    if key is not None:
-                        yield links()
-                    key, ids, labels, sets, n_index = (block, chunk), [], [], [], 0
-                ids.append(doc)
-                labels.append(label)
-                sets.append(tokens)
-                n_index += not asks
-        if key is not None:
-            yield links()
+                    close()
+                    key, names, labels, sets, lists = (block, chunk), [], [], [], None
+                name = doc if label is None else label
+                if not asks:
+                    names.append(name)
+                    labels.append(label)
+                    sets.append(tokens)
+                elif sets:
+                    if lists is None:
+                        lists = Lists(sets, labels, limit)
+                    q = lists.forest.add(label)
+                    found.extend((name, names[c]) for _, c in lists.ask(tokens, q))
+            if found:
+                yield send()
+        close()
+        yield send()
 
     columns = ["block", "chunk", "asks", "label", "doc_id"]
-    dealt = rows.select(*columns, "text").repartition("block", "chunk").sortWithinPartitions("block", "chunk", "asks", "doc_id")
+    # a number of tasks of its own: what a chunk costs is not told by its bytes
+    dealt = rows.select(*columns, "text").repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk", "asks", "doc_id")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -326,8 +361,9 @@ def components_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFram
     members = stored(members, "members")
     count, large = members.agg(F.count("*"), F.coalesce(F.sum((F.col("parts") > 1).cast("int")), F.lit(0))).first()
     with_text = lambda rows, n: documents.select("doc_id", "text").join(small_side(rows, n, FEW), "doc_id")
+    tasks = lambda n: max(1, -(-n // TASK_SETS))
     base = members.select("doc_id", "block", "chunk", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("label"))
-    links = stored(chunk_links(with_text(base, count), size, limit), "links")
+    links = stored(chunk_links(with_text(base, count), size, limit, tasks(count)), "links")
     labels = connected(links)
     if not large:
         return labels
@@ -358,7 +394,8 @@ def components_of_blocks(documents: DataFrame, prefix: DataFrame, tied: DataFram
         # only the chunks that are asked, each with the sets it holds
         asked = rows.select("block", "chunk").distinct()
         rows = stored(rows.unionByName(marked.join(asked, ["block", "chunk"], "left_semi").select("doc_id", "block", "chunk", F.lit(0).alias("asks"), "label")), "asking")
-        found = stored(chunk_links(with_text(rows, rows.count()), size, limit), "links")
+        n_rows = rows.count()
+        found = stored(chunk_links(with_text(rows, n_rows), size, limit, tasks(n_rows)), "links")
         if n := found.count():
             labels = stored(relabelled(labels, connected(found), 2 * n), "labels")
     return labels

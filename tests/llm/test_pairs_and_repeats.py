@@ -73,10 +73,32 @@ def test_search_finds_all_links_of_random_sets():
     for a in range(40):  # one query against all: nothing is connected before, every component is met once
         others = [s for k, s in enumerate(sets) if k != a]
         names = [k for k in range(40) if k != a]
-        got = {frozenset((a, names[c])) for _, c in J.search([*others, sets[a]], [None] * 40, 39, limit)}
+        lists = J.Lists(others, [None] * 39, limit)
+        got = {frozenset((a, names[c])) for _, c in lists.ask(sets[a], lists.forest.add(None))}
         assert got == {x for x in want if a in x}
 
 
+def prose(name, n):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+BARE = {
+    "one row": [(3, prose("a", 80))],
+    "two unrelated": [(3, prose("a", 80)), (4, prose("b", 90))],
+    "two equal": [(3, prose("a", 80)), (4, prose("a", 80))],
+    "all distinct": [(k, prose(f"d{k}x", 60 + k)) for k in range(9)],
+    "only empty": [(1, ""), (2, None), (3, "  ")],
+}
+
+
+@pytest.mark.parametrize("tokens", [J.BUCKET_TOKENS, 16])
+@pytest.mark.parametrize("name", sorted(BARE))
+def test_jaccard_where_little_or_nothing_is_shared(spark, monkeypatch, name, tokens):
+    monkeypatch.setattr(J, "BUCKET_TOKENS", tokens)
+    got = sorted(tuple(r) for r in J.similar(spark.createDataFrame(BARE[name], "doc_id long, text string")).collect())
+    assert got == sorted((i, *x) for i, x in jaccard_components(BARE[name], 3, 90, 100).items())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 140)] + [(200, 200), (300, 301)]
     got = {r.id: r.component for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
