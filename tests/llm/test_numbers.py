@@ -39,15 +39,41 @@ def test_top_k_equals_brute_force(spark):
     assert V.top_k(df.limit(0), F.col("vec_id") % 10 == 0, 5).collect() == []
 
 
-def test_bounds_hold_and_ties_survive():
+def collected(df):
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return got
+
+
+def test_bounds_hold_whatever_the_components():
     rng = np.random.default_rng(5)
-    exact = rng.integers(-9, 9, (300, 4))
-    exact[50:90] = exact[7]
-    ids = rng.permutation(300)
-    for qid, found, scores in V.best_of_block(ids[:40], exact[:40], ids, exact, 5):
-        q = exact[list(ids).index(qid)]
-        want = sorted((-int(v @ q), int(i)) for i, v in zip(ids, exact, strict=True) if i != qid)[:5]
-        assert [(-int(s), int(i)) for i, s in zip(found, scores, strict=True)] == want
+    for most in (9, 10**7, 1 << 28):
+        exact = rng.integers(-most, most, (300, 4))
+        exact[50:90] = exact[7]
+        ids = np.sort(rng.permutation(1000)[:300])
+        cells, low, width = V.approximations(exact)
+        assert ((low + cells * width <= exact) & (exact <= low + cells * width + width - 1)).all()
+        for qid, lows, found, upper in V.bounds(ids[:40], exact[:40], ids, low, width, cells, 5):
+            q = exact[ids.tolist().index(qid)].tolist()
+            score = {i: sum(a * b for a, b in zip(q, v, strict=True)) for i, v in zip(ids.tolist(), exact.tolist(), strict=True) if i != qid}
+            best = sorted(score.values(), reverse=True)[:5]
+            assert {i for i, x in score.items() if x >= best[-1]} <= set(found.tolist())
+            assert all(score[i] <= u for i, u in zip(found.tolist(), upper.tolist(), strict=True)) and min(lows) <= best[-1]
+
+
+def test_top_k_of_large_components_equal_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.choice([-4e4, -1.0, 0.0, 3.5, 3e4], 3)]) for i in range(60)]
+    rows += [(i, [1e4, 2e4, -3e4]) for i in range(100, 190)]  # one vector very often
+    rows += [(0, rows[0][1]), (10, rows[10][1]), (7, rows[7][1])]  # rows given twice
+    rows += [(20, [-5e4, 0.0, 0.0]), (33, [-6e4, 9.0, 9.0])]  # another vector for an id: the smaller one counts
+    kept = {}
+    for i, v in rows:
+        kept[i] = min(v, kept.get(i, v))
+    df = spark.createDataFrame(rows + [(None, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    for read in (1, 32):
+        assert collected(V.top_k(df, F.col("vec_id") % 10 == 0, 5, block=40, query_block=8, read=read)) == brute_top(sorted(kept.items()), lambda q: q % 10 == 0, 5)
 
 
 def test_shards_are_contiguous_balanced_and_gapless(spark):
