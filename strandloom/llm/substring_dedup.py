@@ -7,18 +7,18 @@ ones. Equal strings have equal anchors at equal places, so a repeat shows as an
 Anchors are met in hash buckets as packed byte strings; those of one document only are dropped, and with them nearly all
 unrepeated text.
 
-Resolution. For every shared anchor a document keeps one stretch: the strings that have that anchor, which follow each
-other. Documents lie in shards; equal stretches of a shard are resolved there to the smallest document, so however
-common a passage is a shard sends it on once. What is left meets by anchor. Where an anchor has several stretches, these go
-into suffix arrays: Larsson-Sadakane refinement in numpy (sort by 8 bytes, then refine only the groups still tied by the
-ranks of the suffixes further on), Kasai's common prefixes in text order, and groups of equal strings read off where the
-prefix reaches `width`. Each array holds at most `ARRAY_BYTES`; the arrays of a bucket are merged by binary search of the
-groups' heads, and each group's smallest document decides.
+Resolution. Documents lie in shards of bounded size. What their shared anchors leave of a shard's texts goes into a suffix
+array: Larsson-Sadakane refinement in numpy, Kasai's common prefixes in text order, groups of equal strings read off where
+the prefix reaches `width`. A group's smallest document keeps the string, so however common a passage is a shard sends
+it on once, as stretches: the strings of one anchor, which follow each other. Across shards stretches meet by anchor. Of
+equal ones (compared byte by byte) the smallest document decides; where an anchor has several, they go into arrays of at
+most `ARRAY_BYTES`, merged by binary search of the groups' heads, and each group's smallest document decides.
 
 Defined cases: a null text has 0 bytes, 0 removed, 0 spans and the digest of no bytes. Texts shorter than `width` keep
-all. Of equal texts the smallest doc_id is the original; the copies go whole. Rows that repeat a doc_id with its
-text are one document, and get equal rows. Extra columns are ignored; empty tables give no rows. Texts are bytes; a cut
-may part a character.
+all. Of equal texts the smallest doc_id is the original; the copies go whole. Rows that repeat a doc_id with its text are
+one document and get equal rows. Where a doc_id is null or has several texts, each of its texts is a document of its own;
+they are ordered by doc_id (nulls last), then by a hash of the text, and the later loses what the earlier holds. Extra
+columns are ignored; empty tables give no rows. Texts are bytes; a cut may part a character.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import mixed, slices, small_side, span_hashes, stored, utf8
+from strandloom.llm.common import identified, mixed, slices, small_side, span_hashes, stored, utf8
 
 WIDTH = 50
 ANCHOR = 24
 PIECE = 1 << 20
 BUCKET_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 ARRAY_BYTES = 1 << 20
 FLUSH_ANCHORS = 2 << 20
 FLUSH_DOCS = 20_000
@@ -105,8 +105,21 @@ def _keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (tokens // buckets & ((1 << 40) - 1)) * buckets + tokens % buckets
 
 
+def _by(names: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(name, columns...) for each run of equal `names`, in their order; nothing for none."""
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(names)), bool), names[1:] != names[:-1])))
+    ends = np.append(at, len(names))
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield int(names[i]), *(x[i:j] for x in columns)
+
+
 def shared_anchors(documents: DataFrame, buckets: int, shards: int, width: int) -> DataFrame:
-    """(shard, docs, keys): packed pairs of a document and an anchor that it shares with another document."""
+    """(shard, docs, keys): packed pairs of a document and an anchor that it shares with another document.
+
+    Anchors that documents of one task share are known there: these pairs go on to their shards, and only the anchor's
+    least and greatest document meet those of other tasks. So an anchor's bucket gets two pairs a flush, however common it is.
+    """
+    schema = "bucket int, shard int, docs binary, owners binary, keys binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
@@ -116,17 +129,33 @@ def shared_anchors(documents: DataFrame, buckets: int, shards: int, width: int)
             if not docs:
                 return
             d, k = np.concatenate(docs), np.concatenate(keys)
-            order = np.lexsort((d, k % buckets))
-            d, k = d[order], k[order]
-            cuts = np.searchsorted(k % buckets, np.arange(buckets + 1))
-            for b in range(buckets):
-                i, j = cuts[b], cuts[b + 1]
-                if i < j:
-                    names, at = np.unique(d[i:j], return_inverse=True)
-                    short = (k[i:j] // buckets).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "docs": pa.array([names.tobytes()], pa.binary()), "owners": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "keys": pa.array([short.tobytes()], pa.binary())})
             docs.clear()
             keys.clear()
+            if not len(d):
+                return
+            order = np.lexsort((d, k))
+            d, k = d[order], k[order]
+            first = np.concatenate(([True], k[1:] != k[:-1]))
+            last = np.append(first[1:], True)
+            heads = np.flatnonzero(first)
+            several = np.repeat(d[heads] != d[np.flatnonzero(last)], np.diff(np.append(heads, len(k))))
+            own, at = d[several], k[several]
+            shard = _shard(own, shards)
+            order = np.argsort(shard, kind="stable")
+            for s, part, tokens in _by(shard[order], own[order], at[order]):
+                names, owner = np.unique(part, return_inverse=True)
+                yield row(s % buckets, s, names, owner, tokens.astype("<i8"))
+            met = first | (last & several)
+            d, k = d[met], k[met]
+            order = np.argsort(k % buckets, kind="stable")
+            d, k = d[order], k[order]
+            for b, part, tokens in _by(k % buckets, d, k):
+                names, owner = np.unique(part, return_inverse=True)
+                yield row(b, None, names, owner, (tokens // buckets).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+        def row(bucket: int, shard: int | None, names: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+            blobs = (names.tobytes(), owner.astype(np.uint16).tobytes(), tokens.tobytes())
+            return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", "shard", "docs", "owners", "keys"])
 
         waiting = rows = 0
         for batch in batches:
@@ -138,7 +167,7 @@ def shared_anchors(documents: DataFrame, buckets: int, shards: int, width: int)
                 k = _keys(tokens, buckets)
                 order = np.lexsort((k, own))
                 own, k = own[order], k[order]
-                new = np.concatenate(([True], (own[1:] != own[:-1]) | (k[1:] != k[:-1]))) if len(k) else np.zeros(0, bool)
+                new = np.concatenate((np.ones(min(1, len(k)), bool), (own[1:] != own[:-1]) | (k[1:] != k[:-1])))
                 docs.append(ids[own[new]])
                 keys.append(k[new])
                 waiting += int(new.sum())
@@ -149,28 +178,30 @@ def shared_anchors(documents: DataFrame, buckets: int, shards: int, width: int)
         yield from flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        bucket = group["bucket"][0].as_py()
-        docs, keys = [], []
+        docs, keys, out = [], [], []
         for row in group.to_pylist():
+            own = np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["owners"], np.uint16)]
+            if row["shard"] is not None:
+                out.append((row["shard"], own, np.frombuffer(row["keys"], np.int64)))
+                continue
             short = np.frombuffer(row["keys"], np.uint8).reshape(-1, 5)
             wide = np.zeros((len(short), 8), np.uint8)
             wide[:, :5] = short
-            keys.append(wide.view("<i8").ravel())
-            docs.append(np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["owners"], np.uint16)])
-        k, d = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(k)
-        k, d = k[order], d[order]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        several = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.append(first, len(k))))
-        k, d = k[several] * buckets + bucket, d[several]
-        shard = _shard(d, shards)
-        order = np.argsort(shard, kind="stable")
-        k, d, shard = k[order], d[order], shard[order]
-        names, at = np.unique(shard, return_index=True)
-        ends = np.append(at[1:], len(shard))
-        return pa.table({"shard": pa.array(names, pa.int32()), "docs": pa.array([d[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), "keys": pa.array([k[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())})
-
-    packed = documents.mapInArrow(pack, "bucket int, docs binary, owners binary, keys binary")
+            keys.append(wide.view("<i8").ravel() * buckets + row["bucket"])
+            docs.append(own)
+        if keys:
+            k, d = np.concatenate(keys), np.concatenate(docs)
+            order = np.argsort(k)
+            k, d = k[order], d[order]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            several = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.append(first, len(k))))
+            k, d = k[several], d[several]
+            shard = _shard(d, shards)
+            order = np.argsort(shard, kind="stable")
+            out += _by(shard[order], d[order], k[order])
+        return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), "docs": pa.array([x[1].tobytes() for x in out], pa.binary()), "keys": pa.array([x[2].tobytes() for x in out], pa.binary())})
+
+    packed = documents.mapInArrow(pack, schema)
     return packed.groupBy("bucket").applyInArrow(meet, "shard int, docs binary, keys binary")
 
 
@@ -178,46 +209,45 @@ def _shard(doc_ids: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(doc_ids.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
 
 
-def suffix_groups(text: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `starts` in order of their first `width` bytes, and where a new string begins among them.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of `text`, by Larsson-Sadakane: 8 bytes first, then groups still tied are refined.
 
-    Every suffix asked for has `width` bytes. All places are ranked by 8, 16 and 32 bytes as far as they are tied; the
-    suffixes asked for are ordered by the rank of their first 32 bytes and of the 32 that end where they end.
+    Each round sorts only the suffixes in groups of two or more, by the rank of the suffix as many bytes further on as
+    the groups agree in, until no group is left.
     """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(width + 8, np.uint8)))
-    word = _words8(padded)[:n]
+    if not n:
+        return np.zeros(0, np.int64)
+    word = _words8(np.concatenate((text, np.zeros(7, np.uint8))))
     order = np.argsort(word)
-    rank = np.zeros(n + width, np.int64)
     fresh = np.concatenate(([True], word[order][1:] != word[order][:-1]))
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rank = np.zeros(n, np.int64)
     depth = 8
-    while 2 * depth <= min(32, width):
-        # only suffixes in groups of two or more are sorted again
-        size = np.diff(np.append(np.flatnonzero(fresh), n))
+    while True:
+        heads = np.flatnonzero(fresh)
+        size = np.diff(np.append(heads, n))
+        rank[order] = np.repeat(heads, size)
         tied = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(tied):
+            return order
         at = order[tied]
-        key = rank[at] * np.int64(n + 1) + rank[at + depth]
+        further = at + depth
+        # a suffix that ends goes before one that goes on, the shorter first: a byte of 0 is no end
+        key = rank[at] * np.int64(n + depth + 1) + np.where(further < n, rank[np.minimum(further, n - 1)] + depth + 1, n - at)
         by = np.argsort(key)
         order[tied] = at[by]
         key = key[by]
-        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        fresh[tied] = new
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        fresh[tied] = np.concatenate(([True], key[1:] != key[:-1]))
         depth *= 2
-    key = rank[starts] * np.int64(n + 1) + rank[starts + width - depth]
-    by = np.argsort(key, kind="stable")
-    order = starts[by]
-    lcp = common_prefixes(padded, order, width)
-    return order, lcp < width
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's array, up to `most`: bytes shared by each suffix in `order` and the one before it; 0 for the first.
+def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Kasai's array: how many bytes each suffix in `order` shares with the one before it; 0 for the first.
 
     Taken in text order: where the suffix one place to the left has the neighbour one place to the left too, and they
-    begin with the same byte, the prefix is one shorter, so only the first of such a run is compared, over the whole run.
+    begin with the same byte, the prefix is one shorter, so only the first of such a run is compared; 8 bytes a step.
     """
+    n = len(text)
     if not len(order):
         return np.zeros(0, np.int64)
     before = np.concatenate(([-1], order[:-1]))
@@ -227,21 +257,42 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     heads = np.flatnonzero(head)
     run = np.diff(np.append(heads, len(place)))
     i, j = place[heads], other[heads]
-    want = run + most - 1  # so far the common prefix of the first decides all of the run
+    word = _words8(np.concatenate((text, np.zeros(7, np.uint8))))
     got = np.zeros(len(heads), np.int64)
     live = np.flatnonzero(j >= 0)
     while len(live):
         a, b = i[live] + got[live], j[live] + got[live]
-        inside = (np.maximum(a, b) < len(text)) & (got[live] < want[live])
-        live, a, b = live[inside], a[inside], b[inside]
-        same = text[a] == text[b]
+        same = (np.maximum(a, b) + 8 <= n) & (word[np.minimum(a, n - 1)] == word[np.minimum(b, n - 1)])
         live = live[same]
+        got[live] += 8
+    live = np.flatnonzero(j >= 0)
+    while len(live):
+        a, b = i[live] + got[live], j[live] + got[live]
+        live = live[(np.maximum(a, b) < n) & (text[np.minimum(a, n - 1)] == text[np.minimum(b, n - 1)])]
         got[live] += 1
     lcp = np.empty(len(order), np.int64)
-    lcp[by] = np.clip(np.repeat(got, run) - _ranges(np.zeros(len(run), np.int64), run), 0, most)
+    lcp[by] = np.maximum(np.repeat(got, run) - _ranges(np.zeros(len(run), np.int64), run), 0)
     return lcp
 
 
+def suffix_groups(text: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `starts` in suffix order, and where a new string of `width` bytes begins among them.
+
+    Every suffix asked for has `width` bytes. Two of them share what the least of the prefixes between them says.
+    """
+    order = suffix_array(text)
+    asked = np.zeros(len(text), bool)
+    asked[starts] = True
+    at = np.flatnonzero(asked[order])
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    shared = common_prefixes(text, order)[: at[-1] + 1]
+    least = np.minimum.reduceat(shared, np.concatenate(([0], at[:-1] + 1)))
+    fresh = least < width
+    fresh[0] = True
+    return order[at], fresh
+
+
 class _Contexts:
     """Stretches with their bytes: doc, first string's start in it, number of strings, anchor key."""
 
@@ -262,35 +313,104 @@ class _Contexts:
         return docs, starts, counts, keys, text, begins, ends
 
 
+class _Texts:
+    """What an array is built of: pieces of documents (doc, start, strings, bytes), each of one stretch or several in a row.
+
+    Stretches are known by their piece, the place of their first string in it, their number of strings and their key.
+    """
+
+    def __init__(self):
+        self.pieces: list[tuple] = []
+        self.stretches: list[tuple] = []
+        self.n = self.size = 0
+
+    def add(self, docs, starts, first, count, keys, own, data, width: int) -> None:
+        """Stretches in order of place; `own` tells the rows of `data` apart, `starts` are places in the document."""
+        head = np.concatenate(([True], (own[1:] != own[:-1]) | (first[1:] != first[:-1] + count[:-1])))
+        heads = np.flatnonzero(head)
+        piece = np.cumsum(head) - 1
+        strings = np.add.reduceat(count, heads)
+        text = data[_ranges(first[heads], strings + width - 1)]
+        self.pieces.append((docs[heads], starts[heads], strings, text))
+        self.stretches.append((self.n + piece, first - first[heads][piece], count, keys))
+        self.n += len(heads)
+        self.size += len(text)
+
+    def resolve(self, width: int):
+        """What goes by this array (docs, starts, ends), and the stretches left that hold a string of its first document.
+
+        Strings are grouped in suffix order; each goes where its group has a smaller document.
+        """
+        docs, starts, counts, text = (np.concatenate(x) for x in zip(*self.pieces, strict=True))
+        piece, place, strings, keys = (np.concatenate(x) for x in zip(*self.stretches, strict=True))
+        begins = np.cumsum(counts + width - 1) - (counts + width - 1)
+        first = np.cumsum(counts) - counts
+        at = _ranges(begins, counts)
+        doc = np.repeat(docs, counts)
+        suffixes, fresh = suffix_groups(text, at, width)
+        of = np.searchsorted(at, suffixes)
+        heads = np.flatnonzero(fresh)
+        least = np.empty(len(at), np.int64)
+        least[of] = np.repeat(np.minimum.reduceat(doc[of], heads), np.diff(np.append(heads, len(of))))
+        gone = least < doc
+        new = gone.copy()
+        new[1:] &= ~gone[:-1]
+        new[first] = gone[first]
+        last = gone.copy()
+        last[:-1] &= ~gone[1:] | new[1:]
+        i, j = np.flatnonzero(new), np.flatnonzero(last)
+        own = np.searchsorted(first, i, "right") - 1
+        cut = docs[own], starts[own] + i - first[own], starts[own] + j + 1 - first[own] + width - 1
+        kept = np.concatenate(([0], np.cumsum(~gone)))
+        begin = first[piece] + place
+        left = np.flatnonzero(kept[begin + strings] > kept[begin])
+        piece, place, strings = piece[left], place[left], strings[left]
+        return cut, (docs[piece], starts[piece] + place, strings, keys[left], text, begins[piece] + place, begins[piece] + place + strings + width - 1)
+
+
 def _named(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches ordered by key and content, then document; where a content begins; each content's smallest document."""
+    """Stretches ordered by key and content, then document; where a content begins; each content's smallest document.
+
+    Contents are ordered by a fingerprint and then compared byte by byte with the first of their fingerprint.
+    """
+    lengths = ends - begins
     prints = np.zeros(len(docs), np.uint64)
     for i, j in slices(np.append(begins, ends[-1:]), PIECE):
         prints[i:j] = span_hashes(text[begins[i] : ends[j - 1]], begins[i:j] - begins[i], ends[i:j] - begins[i])
-    prints = mixed(prints + mixed((ends - begins).astype(np.uint64)))
-    order = np.lexsort((docs, prints, keys))
-    k, p = keys[order], prints[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
-    return order, new, docs[order][np.flatnonzero(new)]
+    prints = mixed(prints + mixed(lengths.astype(np.uint64)))
+    while True:
+        order = np.lexsort((docs, prints, keys))
+        k, p = keys[order], prints[order]
+        new = np.concatenate((np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
+        heads = np.flatnonzero(new)
+        like = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+        other = lengths[order] != lengths[like]
+        check = np.flatnonzero((order != like) & ~other)
+        total = np.concatenate(([0], np.cumsum(lengths[order[check]])))
+        for i, j in slices(total, PIECE):
+            a, b = order[check[i:j]], like[check[i:j]]
+            differ = text[_ranges(begins[a], lengths[a])] != text[_ranges(begins[b], lengths[b])]
+            other[check[i:j]] = np.logical_or.reduceat(differ, total[i:j] - total[i])
+        if not other.any():
+            return order, new, docs[order][heads]
+        prints[order[other]] = mixed(prints[order[other]] + np.uint64(1))  # one fingerprint, two contents
 
 
 def _sent(docs, starts, ends, shards: int) -> pa.RecordBatch:
     """Removed spans on their way to the documents' shards: one packed row a shard."""
     shard = _shard(docs, shards)
     order = np.lexsort((starts, docs, shard))
-    shard, packed = shard[order], np.stack((docs, starts, ends), axis=1).astype(np.int64)[order]
-    names, at = np.unique(shard, return_index=True)
-    return pa.record_batch({"shard": pa.array(names, pa.int32()), "spans": pa.array([packed[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(shard)), strict=True)], pa.binary())})
+    packed = np.stack((docs, starts, ends), axis=1).astype(np.int64)[order]
+    out = [(s, x.tobytes()) for s, x in _by(shard[order], packed)]
+    return pa.record_batch({"shard": pa.array([s for s, _ in out], pa.int32()), "spans": pa.array([x for _, x in out], pa.binary())})
 
 
 def _cuts(group: pa.Table) -> pa.Table:
     """One row a document: its removed spans, merged, as packed pairs."""
     docs, starts, ends = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in group["spans"].to_pylist()]).T
     order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order], ends[order]
-    names, at = np.unique(docs, return_index=True)
-    out = [_merged(starts[i:j], ends[i:j]).tobytes() for i, j in zip(at.tolist(), [*at[1:].tolist(), len(docs)], strict=True)]
-    return pa.table({"doc_id": pa.array(names, pa.int64()), "cuts": pa.array(out, pa.binary())})
+    out = [(d, _merged(a, b).tobytes()) for d, a, b in _by(docs[order], starts[order], ends[order])]
+    return pa.table({"_id": pa.array([d for d, _ in out], pa.int64()), "cuts": pa.array([x for _, x in out], pa.binary())})
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -302,7 +422,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _blobs(docs, starts, counts, keys, text, begins, ends) -> dict:
-    return {"docs": docs.astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes(), "counts": counts.astype(np.uint8).tobytes(), "keys": keys.astype(np.int64).tobytes(), "bytes": text[_ranges(begins, ends - begins)].tobytes()}
+    return {"docs": docs.astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes(), "counts": counts.astype(np.int32).tobytes(), "keys": keys.astype(np.int64).tobytes(), "bytes": text[_ranges(begins, ends - begins)].tobytes()}
 
 
 def shard_stretches(documents: DataFrame, anchors: DataFrame, buckets: int, shards: int, width: int) -> DataFrame:
@@ -312,29 +432,24 @@ def shard_stretches(documents: DataFrame, anchors: DataFrame, buckets: int, shar
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(batch.column(0).to_numpy(zero_copy_only=False), shards)), *batch.columns], names=["shard", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(batch.column(0).to_numpy(zero_copy_only=False), shards)), *batch.columns], names=["shard", "_id", "text"])
 
-    texts = documents.mapInArrow(place, "shard int, doc_id long, text string").select("shard", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("keys"))
-    pairs = anchors.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "docs", "keys")
+    texts = documents.mapInArrow(place, "shard int, _id long, text string").select("shard", F.lit(1).alias("kind"), "_id", "text", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("keys"))
+    pairs = anchors.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast("string").alias("text"), "docs", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, pairs, prints, found = None, [], None, _Contexts()
+        shard, pairs, prints, found = None, [], None, _Texts()
 
         def close() -> Iterator[pa.RecordBatch]:
-            docs, starts, counts, keys, text, begins, ends = found.all(width)
-            if not len(docs):
+            if not found.n:
                 return
-            order, new, least = _named(text, begins, ends, keys, docs)
-            least = np.repeat(least, np.diff(np.append(np.flatnonzero(new), len(docs))))
-            gone = docs[order] > least
-            at = order[gone]
-            if len(at):
-                cut = _sent(docs[at], starts[at], starts[at] + counts[at] + width - 1, shards)
-                yield pa.RecordBatch.from_arrays([*cut.columns, *(pa.nulls(cut.num_rows, t) for t in (pa.int32(), *[pa.binary()] * 5))], names=names)
-            at = np.sort(order[~gone])
-            bucket = keys[at] % buckets
-            for b in np.unique(bucket).tolist():
-                own = at[bucket == b]
+            cut, (docs, starts, counts, keys, text, begins, ends) = found.resolve(width)
+            if len(cut[0]):
+                sent = _sent(*cut, shards)
+                yield pa.RecordBatch.from_arrays([*sent.columns, *(pa.nulls(sent.num_rows, t) for t in (pa.int32(), *[pa.binary()] * 5))], names=names)
+            bucket = keys % buckets
+            order = np.argsort(bucket, kind="stable")
+            for b, own in _by(bucket[order], order):
                 blobs = _blobs(docs[own], starts[own], counts[own], keys[own], text, begins[own], ends[own])
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), *(pa.array([blobs[x]], pa.binary()) for x in names[3:])], names=names)
 
@@ -345,13 +460,14 @@ def shard_stretches(documents: DataFrame, anchors: DataFrame, buckets: int, shar
                 part = batch.slice(i, j - i)
                 if heads[0][i] != shard:
                     yield from close()
-                    shard, pairs, prints, found = heads[0][i], [], None, _Contexts()
+                    shard, pairs, prints, found = heads[0][i], [], None, _Texts()
                 if heads[1][i] == 0:
                     for d, k in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
                         pairs.append(mixed(np.frombuffer(d, np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.frombuffer(k, np.uint64)))
                     continue
                 if prints is None:
                     prints = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+                    pairs = []
                 if not len(prints):
                     continue
                 ids = part.column(2).to_numpy(zero_copy_only=False)
@@ -364,8 +480,12 @@ def shard_stretches(documents: DataFrame, anchors: DataFrame, buckets: int, shar
                     docs, keys = ids[row + own], _keys(tokens, buckets)
                     mark = mixed(docs.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + keys.astype(np.uint64))
                     kept = prints[np.minimum(np.searchsorted(prints, mark), len(prints) - 1)] == mark
-                    first, count = first[kept], count[kept]
-                    found.add(docs[kept], first - at[own[kept]] + start, count, keys[kept], piece[_ranges(first, count + width - 1)])
+                    if kept.any():
+                        first, count, own = first[kept], count[kept], own[kept]
+                        found.add(docs[kept], first - at[own] + start, first, count, keys[kept], own, piece, width)
+                    if found.size >= SHARD_BYTES:  # a long text: what is left meets across arrays as it does across shards
+                        yield from close()
+                        found = _Texts()
         yield from close()
 
     dealt = pairs.unionByName(texts).repartition("shard").sortWithinPartitions("shard", "kind")
@@ -374,6 +494,8 @@ def shard_stretches(documents: DataFrame, anchors: DataFrame, buckets: int, shar
 
 def resolve(docs, starts, counts, keys, text, begins, ends, width: int, array_bytes: int = ARRAY_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(docs, starts, ends) of what goes, from stretches that hold all strings of their anchors."""
+    if not len(docs):
+        return docs, starts, ends
     order, new, least = _named(text, begins, ends, keys, docs)
     heads = np.flatnonzero(new)
     size = np.diff(np.append(heads, len(order)))
@@ -437,7 +559,7 @@ def cross_shard(rows: DataFrame, shards: int, width: int) -> DataFrame:
         found = _Contexts()
         for row in group.to_pylist():
             read = lambda name, kind: np.frombuffer(row[name], kind)
-            found.add(read("docs", np.int64), read("starts", np.int64), read("counts", np.uint8).astype(np.int64), read("keys", np.int64), read("bytes", np.uint8))
+            found.add(read("docs", np.int64), read("starts", np.int64), read("counts", np.int32).astype(np.int64), read("keys", np.int64), read("bytes", np.uint8))
         return pa.Table.from_batches([_sent(*resolve(*found.all(width), width), shards)])
 
     columns = ["bucket", "docs", "starts", "counts", "keys", "bytes"]
@@ -446,19 +568,28 @@ def cross_shard(rows: DataFrame, shards: int, width: int) -> DataFrame:
 
 def deduplicate(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of `documents` (doc_id, text); `kept` is what remains."""
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = stored(documents.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("name")).where((F.col("n") >= width) & F.col("doc_id").isNotNull()), "names")
-    firsts = sized.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    documents, unique = identified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "_id")
+    sized = documents.select("_id", "doc_id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("name"))
+    sized = stored(sized.where(F.col("n") >= width), "names")
+    # rows are numbered in order of doc_id: the first row of a text has its smallest
+    firsts = sized.groupBy("name").agg(F.min("_id").alias("first"), F.min_by("doc_id", "_id").alias("first_doc"), F.max("n").alias("n"), F.count("*").alias("copies"))
     firsts = stored(firsts, "originals")
     count, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = documents.join(small_side(firsts.select(F.col("first").alias("doc_id")), count, FEW), "doc_id", "left_semi").where(F.octet_length("text") >= width)
+    texts = documents.join(small_side(firsts.select(F.col("first").alias("_id")), count, FEW), "_id", "left_semi").where(F.octet_length("text") >= width).select("_id", "text")
     buckets, shards = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // SHARD_BYTES))
     anchors = shared_anchors(texts, buckets, shards, width)
     met = stored(shard_stretches(texts, anchors, buckets, shards, width), "stretches")
     spans = met.where("shard is not null").select("shard", "spans").unionByName(cross_shard(met, shards, width))
-    cuts = spans.groupBy("shard").applyInArrow(_cuts, "doc_id long, cuts binary")
-    copies = sized.join(firsts.where("copies > 1").select("name", "first"), "name").where(F.col("doc_id") != F.col("first"))
-    fates = copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("cuts")).distinct().unionByName(cuts.select("doc_id", F.lit(False).alias("copy"), "cuts"))
+    cuts = spans.groupBy("shard").applyInArrow(_cuts, "_id long, cuts binary")
+    copies = sized.join(firsts.where("copies > 1").select("name", "first", "first_doc"), "name").where("_id <> first")
+    if not unique:
+        cuts = stored(cuts, "cuts")
+    fates = cuts.select("_id", F.lit(False).alias("copy"), "cuts")
+    if not unique:  # rows of one doc_id and text are one document
+        again = copies.where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("_id", "first")
+        fates = fates.unionByName(again.join(cuts.withColumnRenamed("_id", "first"), "first").select("_id", F.lit(False).alias("copy"), "cuts"))
+        copies = copies.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    fates = fates.unionByName(copies.select("_id", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("cuts")))
     fates = stored(fates, "fates")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,5 +609,5 @@ def deduplicate(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     n, size = fates.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("cuts")), F.lit(0))).first()
     small = n if size <= FEW_BYTES else FEW_FATES + 1
-    joined = documents.join(small_side(fates, small, FEW_FATES), "doc_id", "left").select("doc_id", "text", "copy", "cuts")
+    joined = documents.join(small_side(fates, small, FEW_FATES), "_id", "left").select("doc_id", "text", "copy", "cuts")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -136,7 +136,56 @@ def test_substring_dedup_of_an_empty_table(spark):
     assert S.deduplicate(cases.empty(spark)).collect() == []
 
 
-def test_suffix_groups_and_common_prefixes():
+@pytest.mark.parametrize("name", sorted(BARE))
+def test_substring_dedup_where_little_or_nothing_is_shared(spark, monkeypatch, name):
+    for bytes_ in (16 << 20, 64):
+        monkeypatch.setattr(S, "BUCKET_BYTES", bytes_)
+        monkeypatch.setattr(S, "SHARD_BYTES", bytes_)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in S.deduplicate(spark.createDataFrame(BARE[name], "doc_id long, text string")).collect()}
+        assert got == removed(BARE[name], 50)
+
+
+@pytest.mark.parametrize("width", [20, 400])
+def test_substring_dedup_of_wide_and_narrow_strings_and_few_anchors_a_flush(spark, monkeypatch, width):
+    monkeypatch.setattr(S, "FLUSH_ANCHORS", 40)
+    monkeypatch.setattr(S, "SHARD_BYTES", 3000)
+    rows = [(k, prose("p", 70 + k) + " " + prose(f"d{k % 4}x", 200) + " " + prose("q", 90)) for k in range(12)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), width).collect()}
+    assert got == removed(rows, width)
+
+
+def test_substring_dedup_of_null_and_clashing_doc_ids(spark):
+    a, b, c = prose("a", 30), prose("b", 30), prose("c", 30)
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, a + b), (4, c), (4, c), (None, c), (None, prose("z", 40)), (None, None), (None, prose("z", 40))]
+    got = sorted((9 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(a)
+    assert got == sorted([(0, n, 0, a), (1, n, n, ""), (1, n, 0, b), (2, n, n, ""), (3, 2 * n, 2 * n, ""), (4, n, 0, c), (4, n, 0, c), (9, n, n, ""), (9, len(prose("z", 40)), 0, prose("z", 40)), (9, 0, 0, ""), (9, len(prose("z", 40)), 0, prose("z", 40))])
+
+
+def test_contents_of_one_fingerprint_are_told_apart(monkeypatch):
+    monkeypatch.setattr(S, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    text = np.frombuffer(b"aaabbbaaabbbaac", np.uint8)
+    begins = np.arange(0, 15, 3)
+    order, new, least = S._named(text, begins, begins + 3, np.zeros(5, np.int64), np.array([5, 4, 3, 2, 1]))
+    groups = np.cumsum(new) - 1
+    assert {frozenset(order[groups == g].tolist()): int(least[g]) for g in range(3)} == {frozenset({0, 2}): 3, frozenset({1, 3}): 2, frozenset({4}): 1}
+
+
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_suffix_arrays_and_common_prefixes_are_whole(letters):
+    rng = np.random.default_rng(letters)
+    for n in (0, 1, 2, 7, 8, 9, 60, 400):
+        for low in (0, 97):
+            text = rng.integers(low, low + letters, n).astype(np.uint8)
+            raw = text.tobytes()
+            order = S.suffix_array(text)
+            assert order.tolist() == sorted(range(n), key=lambda k: raw[k:])
+            common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            want = [0] * bool(n) + [common(raw[i:], raw[j:]) for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True)]
+            assert S.common_prefixes(text, order).tolist() == want
+
+
+def test_groups_of_equal_strings():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 3000).astype(np.uint8)
     text[500:700] = text[1500:1700]
