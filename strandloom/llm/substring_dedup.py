@@ -220,25 +220,28 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     word = _words8(np.concatenate((text, np.zeros(7, np.uint8))))
     order = np.argsort(word)
-    fresh = np.concatenate(([True], word[order][1:] != word[order][:-1]))
-    rank = np.zeros(n, np.int64)
+    word = word[order]
+    heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    size = np.diff(np.append(heads, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(heads, size)
+    tied = np.flatnonzero(np.repeat(size > 1, size))
     depth = 8
-    while True:
-        heads = np.flatnonzero(fresh)
-        size = np.diff(np.append(heads, n))
-        rank[order] = np.repeat(heads, size)
-        tied = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(tied):
-            return order
+    while len(tied):
         at = order[tied]
         further = at + depth
         # a suffix that ends goes before one that goes on, the shorter first: a byte of 0 is no end
         key = rank[at] * np.int64(n + depth + 1) + np.where(further < n, rank[np.minimum(further, n - 1)] + depth + 1, n - at)
         by = np.argsort(key)
-        order[tied] = at[by]
-        key = key[by]
-        fresh[tied] = np.concatenate(([True], key[1:] != key[:-1]))
+        at, key = at[by], key[by]
+        order[tied] = at
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(tied)))
+        tied = tied[np.repeat(size > 1, size)]
         depth *= 2
+    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -250,29 +253,25 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     n = len(text)
     if not len(order):
         return np.zeros(0, np.int64)
-    before = np.concatenate(([-1], order[:-1]))
-    by = np.argsort(order)
-    place, other = order[by], before[by]
-    head = np.concatenate(([True], (place[1:] != place[:-1] + 1) | (other[1:] != other[:-1] + 1) | (other[:-1] < 0) | (text[place[:-1]] != text[other[:-1]])))
+    other = np.full(n, -1, np.int64)
+    other[order[1:]] = order[:-1]
+    head = np.concatenate(([True], (other[1:] != other[:-1] + 1) | (other[:-1] < 0) | (text[:-1] != text[other[:-1]])))
     heads = np.flatnonzero(head)
-    run = np.diff(np.append(heads, len(place)))
-    i, j = place[heads], other[heads]
+    run = np.diff(np.append(heads, n))
+    i, j = heads, other[heads]
     word = _words8(np.concatenate((text, np.zeros(7, np.uint8))))
     got = np.zeros(len(heads), np.int64)
     live = np.flatnonzero(j >= 0)
     while len(live):
         a, b = i[live] + got[live], j[live] + got[live]
-        same = (np.maximum(a, b) + 8 <= n) & (word[np.minimum(a, n - 1)] == word[np.minimum(b, n - 1)])
-        live = live[same]
-        got[live] += 8
-    live = np.flatnonzero(j >= 0)
-    while len(live):
-        a, b = i[live] + got[live], j[live] + got[live]
-        live = live[(np.maximum(a, b) < n) & (text[np.minimum(a, n - 1)] == text[np.minimum(b, n - 1)])]
-        got[live] += 1
-    lcp = np.empty(len(order), np.int64)
-    lcp[by] = np.maximum(np.repeat(got, run) - _ranges(np.zeros(len(run), np.int64), run), 0)
-    return lcp
+        room = n - np.maximum(a, b)
+        differ = word[np.minimum(a, n - 1)] ^ word[np.minimum(b, n - 1)]
+        same = (differ == 0).astype(np.int64)
+        for k in range(8, 64, 8):
+            same += differ < np.uint64(1 << k)
+        got[live] += np.minimum(same, room)
+        live = live[(same == 8) & (room > 8)]
+    return np.maximum(np.repeat(got, run) - _ranges(np.zeros(len(run), np.int64), run), 0)[order]
 
 
 def suffix_groups(text: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
