@@ -34,12 +34,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset and Spark is local (tests)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
         folder = context.getCheckpointDir()
     return folder

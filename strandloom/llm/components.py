@@ -23,7 +23,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of `edges` (u, v): component is the smallest id that can be reached.
 
     A vertex's neighbours are never gathered: each round takes a minimum by vertex and joins it back, which Spark
-    splits where a vertex has very many neighbours. Rounds are written to the shared folder.
+    splits where a vertex has very many neighbours. Rounds are written to the shared folder. Their number grows with the
+    logarithm of the longest path; after `ROUNDS`, enough for any table, the call ends in an error.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(ROUNDS):

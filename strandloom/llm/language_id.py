@@ -5,6 +5,8 @@ list is compared with each profile by out-of-place distance: the sum, over the d
 each one's rank lies from its rank in the profile (a missing one counts as the profile's length). The nearest
 profile wins.
 
+At most `MAX_LANGUAGES` profiles are learned; a table of more languages ends in an error.
+
 Defined cases: text that is null or has no letter is `und` with score 0. Languages at equal distance go to the
 smaller code. N-grams of equal count rank by their code. With no labelled training row there are no profiles and
 every document is `und`. Extra columns are kept; lang_pred and score

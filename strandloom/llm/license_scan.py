@@ -1,7 +1,8 @@
 """Licence scans by canonical digest.
 
-A text and the known licence texts are brought to one canonical form: lower case, copyright lines removed,
-equivalent spellings replaced by one, and every run of other characters than letters and digits made one space.
+A text and the known licence texts are brought to one canonical form: lower case, copyright lines removed (on a line
+that goes on with the licence, the copyright clause alone), equivalent spellings replaced by one, and every run of other
+characters than letters and digits made one space.
 Digests of entire canonical texts are then hash-joined. Texts that only contain a licence do not match.
 
 A text of no known digest is looked up once more in its plain form: without its title, `All rights reserved` and copyright
@@ -36,7 +37,8 @@ KNOWN = {
 # Equivalent spellings, whole words only, each pair applied in this order.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("favour", "favor"), ("honour", "honor"), ("per cent", "percent"), ("http", "https"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"))
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$"
+# A copyright notice with its year, to the end of its line or to the words that a licence begins with; those are kept.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]{0,200}?[0-9]{4}[^\n]{0,200}?($|permission is |permission to |redistribution and use|licensed under|this program is|this software is|this is free|everyone is permitted)"
 
 # What the plain form lacks besides: a title, lines that reserve all rights, and copyright lines without a year that say (c) or stand alone.
 TITLE = r"\A[^a-z0-9]*(?:the )?(?:mit|isc|bsd|new bsd|simplified bsd|modified bsd|[23]-clause bsd|zlib|boost software|apache|gnu|mozilla public|unlicense|creative commons|do what the fuck)(?:[^a-z0-9\n][^\n]{0,60})?(?:\n|\z)"
@@ -47,12 +49,17 @@ END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 HINT = r"copyright|licen[cs]e|permission"  # each known text says one of these
 
 
+def spaced(words: str) -> str:
+    return words.replace(" ", "  ")
+
+
 def canonical(text: Column) -> Column:
     """Lower case without copyright lines, one space between words, one spelling for each word."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " $1")
+    # two spaces between words: neighbours that are both replaced share none
+    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+        out = F.replace(out, F.lit(f" {spaced(old)} "), F.lit(f" {spaced(new)} "))
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
@@ -64,7 +71,8 @@ def digest(text: Column) -> Column:
 def plain_digest(text: Column) -> Column:
     """The digest of the plain form, null for texts that say none of the words every licence has."""
     out = F.regexp_replace(F.lower(text), "\r\n?", "\n")
-    for pattern in (COPYRIGHT_LINE, YEARLESS, RESERVED):
+    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    for pattern in (YEARLESS, RESERVED):
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(F.regexp_replace(out, ALONE, "\n\n"), TITLE, "")
     return F.when(F.lower(text).rlike(HINT), digest(F.regexp_replace(out, ALONE, "\n\n")))

@@ -6,8 +6,9 @@ budget each length is given its proportional share of its documents, what then r
 and the last words are fitted exactly by a bounded-knapsack dynamic programme over the lengths that are left. That
 yields how many documents of each length to take once more; which ones is decided by a seeded hash of doc_id.
 
-Only histograms (a row for each source and length, or for each of 256 hash slices of these) and the source totals
-leave the documents. Targets are set on the driver from one row a source.
+Only histograms (a row for each source and length, or for each hash slice of these, of about `SLICE_ROWS` documents) and the
+source totals leave the documents. Targets are set on the driver from one row a source, of at most `MAX_SOURCES`; a table of
+more ends in an error.
 
 Defined cases: a null text has 0 words; documents of 0 words are taken 0 times. A null source is a source of its own,
 after all others. Empty tables give no rows. Rows that agree in source, length and doc_id are told apart by
@@ -30,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 EXACT = 8192
-SLICES = 256
+SLICE_BITS, SLICE_ROWS = 8, 1 << 14
 MAX_SOURCES = 1_000_000
 
 
@@ -103,8 +104,10 @@ def mix(documents: DataFrame, weights: Iterable[float] = WEIGHTS, most: int = MO
     columns = [c for c in documents.columns if c not in (text, "size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     own = documents.select(F.struct(*columns).alias("_row"), F.col(source).alias("_source"), size.alias("_size"), F.xxhash64(F.lit(seed), key).alias("_hash"))
-    rows = stored(own, "lengths").withColumn("_slice", F.shiftrightunsigned("_hash", 56))
+    rows = stored(own, "lengths")
     histogram = stored(rows.groupBy("_source", "_size").agg(F.count("*").alias("_n")), "histogram")
+    most_alike = histogram.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    rows = rows.withColumn("_slice", F.shiftrightunsigned("_hash", 64 - max(SLICE_BITS, (most_alike // SLICE_ROWS).bit_length())))
     totals = histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("s"))
     found = totals.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:

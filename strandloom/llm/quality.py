@@ -94,26 +94,26 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     """The averaged weights of learners over all rows of `labelled` (text, 0/1 label, key): a bounded sample, see sampled()."""
     sample = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit("order"), F.col(key)).alias("h"))
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(rows: pa.Table) -> pa.Table:
         seen: list[tuple[int, tuple[np.ndarray, np.ndarray], int]] = []
-        for batch in batches:
+        for batch in rows.select(["text", "label", "h"]).to_batches():
             data, offsets = utf8(batch.column(0))
             labels, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, j in slices(offsets):
                 own = vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
                 seen += zip(keys[i:j], own, labels[i:j], strict=True)
         seen.sort(key=lambda x: (x[0], x[2], len(x[1][0])))
-        if seen:
-            learner = Learner(bits)
-            for _ in range(passes):
-                for _, (places, values), y in seen:
-                    learner.learn(places, values, y)
-            w = learner.weights()
-            at = np.flatnonzero(w)
-            yield pa.record_batch({"place": pa.array(at.astype(np.int32)), "w": pa.array(w[at] * len(seen)), "rows": pa.array(np.zeros(len(at), np.int64))})
-            yield pa.record_batch({"place": pa.array([-1], pa.int32()), "w": pa.array([0.0]), "rows": pa.array([len(seen)], pa.int64())})
-
-    fitted = sample.repartition(shards, F.pmod("h", F.lit(shards))).mapInArrow(fit, "place int, w double, rows long")
+        learner = Learner(bits)
+        for _ in range(passes):
+            for _, (places, values), y in seen:
+                learner.learn(places, values, y)
+        w = learner.weights()
+        at = np.flatnonzero(w)
+        # place -1 tells how many rows the learner saw
+        return pa.table({"place": pa.array(np.append(at, -1), pa.int32()), "w": pa.array(np.append(w[at] * len(seen), 0.0)), "rows": pa.array(np.append(np.zeros(len(at), np.int64), len(seen)))})
+
+    # a group a learner: `shards` of them, whatever the number of partitions
+    fitted = sample.groupBy(F.pmod("h", F.lit(shards))).applyInArrow(fit, "place int, w double, rows long")
     # at most shards * (2^bits + 2) short rows, whatever the corpus
     got = fitted.groupBy("place").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows")).toArrow()
     weights = np.zeros((1 << bits) + 1)

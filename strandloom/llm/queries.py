@@ -66,10 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"regexp_replace(lower(text), {quote(license_scan.COPYRIGHT_LINE)}, ' ', 'g')"
-    form = f"concat(' ', regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+    form = f"regexp_replace(lower(text), {quote(license_scan.COPYRIGHT_LINE)}, ' \\1', 'g')"
+    form = f"concat(' ', regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'), ' ')"
     for old, new in license_scan.SPELLINGS:
-        form = f"replace({form}, ' {old} ', ' {new} ')"
+        form = f"replace({form}, ' {license_scan.spaced(old)} ', ' {license_scan.spaced(new)} ')"
     form = f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
     texts = ", ".join(f"({quote(name)}, {quote(body)})" for name, body in sorted(license_scan.KNOWN.items()))
     digest = f"CASE WHEN text IS NOT NULL AND length({form}) > 0 THEN sha256({form}) END"

@@ -1,9 +1,9 @@
 """Contiguous shards of near equal bytes, from global prefix sums of per-cell totals.
 
 Documents are ordered by a hash of their text (equal texts lie together) and doc_id. The order is cut into cells:
-ranges of the hash, and for a text with very many copies (there are at most `HOT_PARTS` such texts) `SLICES` cells
-by a hash of doc_id. Each cell's bytes and rows are summed where they lie; a prefix sum over the few thousand cell
-totals gives every cell its start, and a running sum inside the cell gives every document its place. A document
+ranges of the hash, and for a text with very many copies (there are fewer than `HOT_PARTS` such texts) slices of it by a
+hash of doc_id, both about `CELL_ROWS` rows each. Each cell's bytes and rows are summed where they lie; a prefix sum over the
+cell totals gives every cell its start, and a running sum inside the cell gives every document its place. A document
 goes to the shard that holds the middle of its bytes; texts whose copies together weigh at most 1 / `WHOLE` of a
 shard go together, to the shard that holds their common middle. No task holds more than a cell.
 
@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import small_side, stored
 
 OVERHEAD = 16
-CELL_BITS = 10
-HOT_PARTS = 64
-SLICES = 32
+CELL_ROWS = 1 << 14
+CELL_BITS, MOST_BITS = 10, 18
+HOT_PARTS = 4096
+FEW = 1_000_000
 WHOLE = 20
 
 
@@ -41,24 +42,27 @@ def shard_by_bytes(documents: DataFrame, shards: int = 40, text: str = "text", k
         F.crc32(raw).alias("_crc"),
         F.xxhash64(raw).alias("_h"),
     )
-    rows = stored(own, "sizes").withColumn("_s", F.pmod(F.xxhash64(F.lit("slice"), "_key"), F.lit(SLICES)).cast("int"))
+    rows = stored(own, "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     # a text with more than 1 / HOT_PARTS of the rows: fewer than HOT_PARTS of them exist
-    hot = rows.groupBy("_h").agg(F.count("*").alias("c")).where(F.col("c") > max(1000, n // HOT_PARTS)).select("_h", F.lit(True).alias("_hot"))
+    slices = F.ceil(F.col("c") / F.lit(float(CELL_ROWS))).cast("int")
+    hot = rows.groupBy("_h").agg(F.count("*").alias("c")).where(F.col("c") > max(1000, n // HOT_PARTS)).select("_h", slices.alias("_hot"))
+    bits = max(CELL_BITS, min(MOST_BITS, (n // CELL_ROWS).bit_length()))
     celled = rows.join(F.broadcast(hot), "_h", "left").select(
         "*",
-        F.shiftrightunsigned("_h", 64 - CELL_BITS).alias("_cell"),
-        F.when(F.col("_hot"), F.col("_h")).otherwise(0).alias("_hk"),
-        F.when(F.col("_hot"), F.col("_s") + 1).otherwise(0).alias("_hs"),
+        F.shiftrightunsigned("_h", 64 - bits).alias("_cell"),
+        F.when(F.col("_hot") > 0, F.col("_h")).otherwise(0).alias("_hk"),
+        F.when(F.col("_hot") > 0, F.pmod(F.xxhash64(F.lit("slice"), "_key"), "_hot") + 1).otherwise(0).alias("_hs"),
     )
     cells = celled.groupBy("_cell", "_hk", "_hs").agg(F.sum("_size").alias("_b"), F.count("*").alias("_r"))
-    # the prefix sum runs over at most 2^CELL_BITS + HOT_PARTS * SLICES rows
+    # the prefix sum runs over one row a cell: at most 2^MOST_BITS of them, and the slices of hot texts
     before = Window.orderBy("_cell", "_hk", "_hs").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("_cell", "_hk", "_hs", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_r0"), "_b")
     # the slices of a hot text follow each other: its copies' common bytes
-    slices = Window.partitionBy("_cell", "_hk")
-    starts = starts.withColumns({"_h0": F.min("_b0").over(slices), "_h1": F.max(F.col("_b0") + F.col("_b")).over(slices)}).drop("_b")
-    placed = celled.join(F.broadcast(starts), ["_cell", "_hk", "_hs"])
+    whole = Window.partitionBy("_cell", "_hk")
+    starts = starts.withColumns({"_h0": F.min("_b0").over(whole), "_h1": F.max(F.col("_b0") + F.col("_b")).over(whole)}).drop("_b")
+    starts = stored(starts, "cells")
+    placed = celled.join(small_side(starts, starts.count(), FEW), ["_cell", "_hk", "_hs"])
     cell = Window.partitionBy("_cell", "_hk", "_hs").orderBy("_h", "_key", "_size")
     run = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     copies = Window.partitionBy("_cell", "_hk", "_hs", "_h")

@@ -155,6 +155,7 @@ def test_licences_match_in_their_usual_forms(spark):
     full = {p.stem: p.read_text() for p in (license_scan.Path(license_scan.__file__).parent / "licences").glob("*.txt")}
     mit, isc = license_scan.KNOWN["MIT"], license_scan.KNOWN["ISC"]
     cases_ = [("MIT", "MIT License\n\nCopyright (c) 2020 A. B.\n\n" + mit), ("MIT", "The MIT License (MIT)\r\n\r\nCopyright (c) A. B.\r\n\r\n" + mit), ("ISC", "ISC License\n\nCopyright The Authors\n\n" + isc), ("MIT", "Copyright 2020 A. B.\nAll rights reserved.\n\n" + mit)]
+    cases_ += [("MIT", "Copyright (c) 2020 A. B. " + mit), ("ISC", "(c) 1999-2004 by Some Body, Inc. " + isc), ("MIT", mit.replace("sublicense", "sublicence")), (None, "Copyright 2020 A. B. And more than a licence.")]
     cases_ += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, A. B.\nAll rights reserved.\n\n" + full["BSD-3-Clause"]), ("BSD-2-Clause", full["BSD-2-Clause"].replace("1. Red", " * Red").replace("2. Red", " * Red"))]
     cases_ += [(name, text) for name, text in full.items()] + [("Apache-2.0", full["Apache-2.0"].split("   APPENDIX")[0]), ("Unlicense", full["Unlicense"].replace("http:", "https:"))]
     cases_ += [(None, "MIT License\n\n" + mit + " and more"), (None, "MIT License"), (None, "Copyright (c) A. B.")]
