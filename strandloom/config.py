@@ -36,6 +36,13 @@ class Parameters:
     single_exon_overlap: float = 0.80
     min_guaranteed_weight: float = 0.01
     score_threshold: float = 0.2
+    min_single_exon_length: int = 250
+    min_single_exon_coverage: float = 3.5
+    min_transcript_length_base: int = 100
+    min_transcript_length_increase: int = 20
+    min_exon_length: int = 8
+    boundary_ratio: float = 2.0
+    adjacent_weight: float = 0.5
 
 
 # what long reads change

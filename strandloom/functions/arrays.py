@@ -55,8 +55,10 @@ def pairs(a: Column) -> Column:
 
 
 def introns(chain: Column) -> Column:
-    """[d0, a0, d1, a1, ...] as array<struct<l, r>>."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(chain) - 1), lambda i: i % 2 == 0), lambda i: F.struct(chain[i].alias("l"), chain[i + 1].alias("r")))
+    """[d0, a0, d1, a1, ...] as array<struct<l, r>>; an empty array for an empty chain, a last odd element is left out."""
+    n = F.floor(F.size(chain) / 2).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(chain[2 * i].alias("l"), chain[2 * i + 1].alias("r")))
 
 
 def intron_length(chain: Column) -> Column:
@@ -91,18 +93,86 @@ def merged_chain(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).when(agree, union)
 
 
+def slices_equal(a: Column, a0: int, b: Column, b0: int, n: int) -> Column:
+    """Whether `n` elements of `a` from place a0 (from 0) are those of `b` from b0; false where either has fewer."""
+    return (F.size(a) >= a0 + n) & (F.size(b) >= b0 + n) & (F.slice(a, a0 + 1, n) == F.slice(b, b0 + 1, n))
+
+
+def argmax(a: Column) -> Column:
+    """The place (from 0) of the first largest element; -1 for an empty array."""
+    return F.coalesce(F.array_position(a, F.array_max(a)) - 1, F.lit(-1)).cast("int")
+
+
+def argmin(a: Column) -> Column:
+    return F.coalesce(F.array_position(a, F.array_min(a)) - 1, F.lit(-1)).cast("int")
+
+
+def mapped(a: Column, to: Column) -> Column:
+    """Each element looked up in the map `to`; null where it is not there."""
+    return F.transform(a, lambda x: F.try_element_at(to, x))
+
+
+def renumbered(a: Column) -> Column:
+    """Each element's dense rank (from 0) among the distinct ones."""
+    every = F.array_sort(F.array_distinct(a))
+    return F.transform(a, lambda x: (F.array_position(every, x) - 1).cast("int"))
+
+
+def overlap_of(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
+    """The length two intervals share; below 0 it is how far they lie apart."""
+    return F.least(end, other_end) - F.greatest(start, other_start)
+
+
+def split_at(exons: Column, width: int) -> Column:
+    """Exons (start, end) cut at every multiple of `width`."""
+    def cut(x: Column) -> Column:
+        first, last = F.floor(x["start"] / width).cast("int"), F.floor((x["end"] - 1) / width).cast("int")
+        return F.transform(F.sequence(first, last), lambda k: F.struct(F.greatest(x["start"], k * width).cast("int").alias("start"), F.least(x["end"], (k + 1) * width).cast("int").alias("end")))
+
+    return F.flatten(F.transform(exons, cut))
+
+
+def shrunk(exons: Column) -> Column:
+    """Sorted exons, those that abut merged."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        n = F.size(acc)
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
+        alone = F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        return F.when((n > 0) & (last["end"] == x["start"]), grown).otherwise(alone).cast(kind)
+
+    return F.aggregate(exons, F.array().cast(kind), step)
+
+
+def first_intron(exons: Column) -> Column:
+    return F.when(F.size(exons) > 1, F.struct(exons[0]["end"].alias("l"), exons[1]["start"].alias("r")))
+
+
+def chain_key(exons: Column, bucket: int = 10_000) -> Column:
+    """What transcripts are grouped by: the intron chain, or for one exon the bucket of its middle, as text."""
+    flat = F.array_join(F.transform(intron_chain(exons), lambda x: x.cast("string")), "-")
+    return F.when(F.size(exons) > 1, flat).otherwise(F.concat(F.lit("@"), F.floor((exons[0]["start"] + F.element_at(exons, -1)["end"]) / bucket).cast("string")))
+
+
+def label(seqname: Column, exons: Column) -> Column:
+    """chr:start-end, as files write it."""
+    return F.concat_ws("", seqname, F.lit(":"), exons[0]["start"].cast("string"), F.lit("-"), F.element_at(exons, -1)["end"].cast("string"))
+
+
 RELATIONS = ("identical", "apart_left", "apart_right", "contains", "contained", "extends_left", "extends_right", "nested", "nesting", "conflicting")
 
 
 def relation(a: Column, b: Column) -> Column:
-    """How two sorted sequences lie to each other, one of RELATIONS."""
+    """How two sorted sequences lie to each other, one of RELATIONS; every sequence contains an empty one."""
     a0, a1, b0, b1 = F.array_min(a), F.array_max(a), F.array_min(b), F.array_max(b)
     low, high = F.greatest(a0, b0), F.least(a1, b1)
     inside = lambda x: F.filter(x, lambda v: (v >= low) & (v <= high))
     same = inside(a) == inside(b)
     name = {k: F.lit(k) for k in RELATIONS}
     return (
-        F.when(a == b, name["identical"]).when(a1 < b0, name["apart_left"]).when(b1 < a0, name["apart_right"])
+        F.when(a == b, name["identical"]).when(F.size(b) == 0, name["contains"]).when(F.size(a) == 0, name["contained"]).when(a1 < b0, name["apart_left"]).when(b1 < a0, name["apart_right"])
         .when(same & (a0 <= b0) & (b1 <= a1), name["contains"]).when(same & (b0 <= a0) & (a1 <= b1), name["contained"])
         .when(same & (a0 < b0), name["extends_left"]).when(same & (b0 < a0), name["extends_right"])
         .when((F.size(inside(b)) == 0) & (b0 < a0) & (a1 < b1), name["nested"]).when((F.size(inside(a)) == 0) & (a0 < b0) & (b1 < a1), name["nesting"])

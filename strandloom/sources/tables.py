@@ -47,3 +47,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS_SQL = "ev AS (SELECT user_id, floor(epoch(ts))::BIGINT AS \"at\", event_id, event_type, value FROM events)"
+
+
+def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qname, graph, exons, chain, pos, rpos): an order as one spliced read, its lines merged to disjoint exons."""
+    from strandloom.functions.arrays import intron_chain
+    from strandloom.operators.intervals import merge_islands
+
+    blocks = merge_islands(reads(spark, sf_dir), ["qname"], "pos", "rpos", 0, 1 << 20)
+    rows = blocks.groupBy("qname").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
+    return rows.select("qname", F.floor(F.col("qname") / 100).alias("graph"), "exons", intron_chain(F.col("exons")).alias("chain"), F.col("exons")[0]["start"].alias("pos"), F.element_at("exons", -1)["end"].alias("rpos"))
+
+
+SPLICED_SQL = f"""{READS_SQL}, blk_f AS (SELECT *, CASE WHEN pos > max(rpos) OVER (PARTITION BY qname ORDER BY pos, rpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM reads),
+blk_g AS (SELECT *, sum(nw) OVER (PARTITION BY qname ORDER BY pos, rpos ROWS UNBOUNDED PRECEDING) AS g FROM blk_f),
+blk AS (SELECT qname, min(pos)::INTEGER AS s, max(rpos)::INTEGER AS e FROM blk_g GROUP BY qname, g),
+sp0 AS (SELECT qname, floor(qname / 100)::BIGINT AS graph, list({{'s': s, 'e': e}} ORDER BY s) AS x, min(s) AS pos, max(e) AS rpos FROM blk GROUP BY 1),
+sp AS (SELECT *, flatten(list_transform(range(1, len(x)), lambda i: [x[i].e, x[i + 1].s])) AS chain FROM sp0)"""
