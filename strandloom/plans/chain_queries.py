@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.config import Parameters
 from strandloom.functions import arrays as A
 from strandloom.operators import chains as C
 from strandloom.operators import graphs as G
@@ -14,6 +15,7 @@ from strandloom.sources import files
 from strandloom.sources.tables import CHAINS_SQL, EVENTS_SQL, READS_SQL, chains, events, reads, table
 
 DAY = 86_400
+P = Parameters()
 
 
 def _flat(df: DataFrame, column: str) -> DataFrame:
@@ -35,12 +37,12 @@ def splice_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = C.splice_positions(chains(spark, sf_dir), ["bundle"])
-    return C.similar_bundles(positions, 0.80, 500).withColumn("ratio", F.round("ratio", 6))
+    return C.similar_bundles(positions, 0.80, 2 * P.max_junctions_compared).withColumn("ratio", F.round("ratio", 6))
 
 
 def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = C.splice_positions(chains(spark, sf_dir), ["bundle"])
-    similar = C.similar_bundles(positions, 0.80, 500)
+    similar = C.similar_bundles(positions, 0.80, 2 * P.max_junctions_compared)
     # regions keep groups apart: bundles of one thousand of order keys
     region = F.floor(F.col("i") / 1000)
     return C.capped_groups(similar.where(region == F.floor(F.col("j") / 1000)).withColumn("region", region), ["region"], 200)
@@ -147,8 +149,8 @@ def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads(spark, sf_dir).where("chrm = 'R'").groupBy("qname").agg(F.array_sort(F.collect_set(F.struct(F.col("pos").alias("start"), F.col("rpos").alias("end")))).alias("exons"), F.sum("quantity").alias("cov"))
-    return rows.select(F.lit("R").alias("seqname"), F.lit("+").alias("strand"), F.concat(F.lit("g"), F.floor(F.col("qname") / 100)).alias("gene_id"), F.concat(F.lit("t"), "qname").alias("transcript_id"), F.col("cov").cast("double").alias("cov"), "exons")
+    rows = reads(spark, sf_dir).groupBy("chrm", "strand", "qname").agg(F.array_sort(F.collect_set(F.struct(F.col("pos").alias("start"), F.col("rpos").alias("end")))).alias("exons"), F.sum("quantity").alias("cov"))
+    return rows.select(F.col("chrm").alias("seqname"), "strand", F.concat(F.lit("g"), F.floor(F.col("qname") / 100)).alias("gene_id"), F.concat(F.lit("t"), "qname", F.lit("."), "chrm", "strand").alias("transcript_id"), F.col("cov").cast("double").alias("cov"), "exons")
 
 
 def gtf_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,8 @@ def vertex_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.top_paths(_graphs(spark, sf_dir))
+    found = _flat(G.top_paths(_graphs(spark, sf_dir)), "path")
+    return found.withColumn("bottlenecks", F.array_join(F.transform("bottlenecks", lambda x: x.cast("long").cast("string")), "-"))
 
 
 def bottleneck_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +201,29 @@ def greedy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.greedy_paths(_graphs(spark, sf_dir))
 
 
+def side_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.side_extremes(_graphs(spark, sf_dir))
+    return found.select("graph", "v", *(F.coalesce(c, F.lit(-1)).alias(c) for c in found.columns[2:]))
+
+
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.summaries(_graphs(spark, sf_dir)).withColumns({"mean_edge": F.round("mean_edge", 6), "mean_vertex": F.round("mean_vertex", 6)})
+
+
+def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewest edges, number of paths and least weight from the source to each vertex."""
+    return G.reach(_graphs(spark, sf_dir))
+
+
+def graph_reach_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same towards the sink, over edges of at least 400."""
+    return G.reach(_graphs(spark, sf_dir), 400.0, True)
+
+
 QUERIES = [
     chain_counts, junction_counts, splice_index, overlap_similarity, capped_groups, theta_near, support_join, mate_join, insert_profile, library_vote,
     best_profile, phase_counts, route_counts, transcript_merge, sample_explode, unique_junction, feature_minmax, tpm_share, normalize_score, score_threshold,
-    gtf_format, tsv_format, vertex_sums, topk_paths, bottleneck_path, path_counts, decompose, greedy_paths,
+    gtf_format, tsv_format, vertex_sums, topk_paths, bottleneck_path, path_counts, decompose, greedy_paths, side_extremes, graph_summary, graph_reach, graph_reach_back,
 ]
 
 _PAIRS = "j AS (SELECT bundle, unnest(list_transform(range(1, len(chain)), lambda i: {'l': chain[i], 'r': chain[i + 1]})) AS j FROM chains)"
@@ -212,12 +234,23 @@ items AS (SELECT sample_id, chrm, CASE WHEN len(lines) > 1 THEN array_to_string(
 _GRAPHS = f"""{READS_SQL}, o AS (SELECT qname, list_concat([0], list_sort(list_distinct(list(line))), [100]) AS p, sum(quantity) AS w FROM reads GROUP BY 1),
 x AS (SELECT floor(qname / 100)::BIGINT AS graph, unnest(list_transform(range(1, len(p)), lambda i: {{'l': p[i], 'r': p[i + 1]}})) AS e, w FROM o),
 edges AS (SELECT graph, e.l::BIGINT AS s, e.r::BIGINT AS t, sum(w) AS w FROM x GROUP BY ALL)"""
+_REACH = """WITH RECURSIVE {graphs}, r(graph, v, hops, near) AS (SELECT graph, {root}::BIGINT, 0::BIGINT, 0.0::DOUBLE FROM edges GROUP BY graph UNION ALL SELECT r.graph, e.{b}, r.hops + 1, r.near + e.w FROM r JOIN edges e ON r.graph = e.graph AND r.v = e.{a} AND e.w >= {least})
+SELECT graph, v, min(hops) AS hops, count(*)::DOUBLE AS ways, min(near) AS nearest FROM r GROUP BY 1, 2"""
 SQL = {
+    "side_extremes": f"""WITH {_GRAPHS}, ie AS (SELECT graph, t AS v, max(w) AS max_in, arg_max(s, (w, -s)) AS max_in_from, arg_min(s, (w, s)) AS min_in_from FROM edges GROUP BY 1, 2), oe AS (SELECT graph, s AS v, max(w) AS max_out, arg_max(t, (w, -t)) AS max_out_to, arg_min(t, (w, t)) AS min_out_to FROM edges GROUP BY 1, 2)
+SELECT graph, v, coalesce(max_in, -1) AS max_in, coalesce(max_out, -1) AS max_out, coalesce(max_in_from, -1) AS max_in_from, coalesce(min_in_from, -1) AS min_in_from, coalesce(max_out_to, -1) AS max_out_to, coalesce(min_out_to, -1) AS min_out_to FROM ie FULL JOIN oe USING (graph, v)""",
+    "graph_summary": f"""WITH {_GRAPHS}, vx AS (SELECT graph, v, greatest(sum(i), sum(o)) AS w FROM (SELECT graph, s AS v, 0 AS i, w AS o FROM edges UNION ALL SELECT graph, t, w, 0 FROM edges) GROUP BY 1, 2), y AS (SELECT graph, count(*) AS n_vertices, avg(w) AS mv FROM vx GROUP BY 1)
+SELECT graph, any_value(n_vertices) AS n_vertices, count(*) AS n_edges, count(*) FILTER (t > s + 1) AS n_jumps, count(*) - any_value(n_vertices) + 2 AS n_needed, round(avg(w), 6) AS mean_edge, round(any_value(mv), 6) AS mean_vertex, arg_max(s, (w, -s, -t)) AS heavy_s, arg_max(t, (w, -s, -t)) AS heavy_t FROM edges JOIN y USING (graph) GROUP BY 1""",
+    "graph_reach": _REACH.format(graphs=_GRAPHS, root=0, a="s", b="t", least="0"),
+    "graph_reach_back": _REACH.format(graphs=_GRAPHS, root=100, a="t", b="s", least="400"),
+    "topk_paths": f"""WITH RECURSIVE {_GRAPHS}, r(graph, v, path, ws) AS (SELECT graph, 0::BIGINT, [0::BIGINT], []::DOUBLE[] FROM edges GROUP BY graph UNION ALL SELECT r.graph, e.t, list_append(r.path, e.t), list_append(r.ws, e.w) FROM r JOIN edges e ON r.graph = e.graph AND r.v = e.s),
+k AS (SELECT graph, path, list_sort(ws)[1:5] AS low, list_transform(list_sort(ws)[1:5], lambda x: -x) AS down FROM r WHERE v = 100), q AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY down, len(path), path) AS rank FROM k)
+SELECT graph, rank::INTEGER AS rank, array_to_string(path, '-') AS path, array_to_string(list_transform(low, lambda x: x::BIGINT), '-') AS bottlenecks FROM q WHERE rank <= 10""",
     "chain_counts": f"""WITH {READS_SQL}, o AS (SELECT qname, array_to_string(list_sort(list_distinct(list(line))), '-') AS chain, arg_max(strand, (part, line, sample_id, strand)) AS xs FROM reads GROUP BY 1)
 SELECT chain, count(*) FILTER (xs IS NULL) AS c0, count(*) FILTER (xs = '+') AS c1, count(*) FILTER (xs = '-') AS c2 FROM o GROUP BY 1""",
     "junction_counts": f"WITH {CHAINS_SQL}, {_PAIRS} SELECT j.l AS l, j.r AS r, count(*) AS \"count\" FROM j GROUP BY 1, 2",
     "splice_index": "SELECT l_partkey AS p, count(DISTINCT l_orderkey) AS n_bundles, min(l_orderkey) AS first_bundle, max(l_orderkey) AS last_bundle FROM lineitem GROUP BY 1",
-    "overlap_similarity": """WITH o AS (SELECT DISTINCT l_orderkey AS b, l_partkey AS p FROM lineitem), n AS (SELECT b, count(*) AS n FROM o GROUP BY 1 HAVING count(*) <= 500), z AS (SELECT * FROM o JOIN n USING (b)),
+    "overlap_similarity": """WITH o AS (SELECT DISTINCT l_orderkey AS b, l_partkey AS p FROM lineitem), n AS (SELECT b, count(*) AS n FROM o GROUP BY 1 HAVING count(*) <= 1000), z AS (SELECT * FROM o JOIN n USING (b)),
 c AS (SELECT x.b AS i, y.b AS j, count(*) AS common, count(*) / least(any_value(x.n), any_value(y.n)) AS ratio FROM z x JOIN z y ON x.p = y.p AND x.b < y.b GROUP BY 1, 2)
 SELECT i, j, common, round(ratio, 6) AS ratio FROM c WHERE ratio >= 0.8""",
     "theta_near": f"""WITH {READS_SQL}, d AS (SELECT DISTINCT part, pos AS l, rpos AS r, strand FROM reads)
@@ -246,10 +279,10 @@ round(CASE WHEN max(quantity) <> 0 THEN min(quantity) / max(quantity) END, 6) AS
     "tpm_share": """WITH s AS (SELECT p_brand, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT p_brand, quantity, round(quantity * 1e6 / sum(quantity) OVER (), 4) AS tpm FROM s""",
     "normalize_score": f"WITH {EVENTS_SQL}, u AS (SELECT user_id, count(*) AS count2, max(value) AS value FROM ev GROUP BY 1) SELECT user_id, round(count2::DOUBLE / max(count2) OVER (), 9) AS count1, count2, value FROM u",
     "score_threshold": f"WITH {EVENTS_SQL} SELECT user_id, round(avg(1 / (1 + exp(2.0::DOUBLE - value / 40 - length(event_type)::DOUBLE / 8))), 9) AS y_prob_mean FROM ev GROUP BY 1 HAVING avg(1 / (1 + exp(2.0::DOUBLE - value / 40 - length(event_type)::DOUBLE / 8))) >= 0.45",
-    "gtf_format": f"""WITH {READS_SQL}, t AS (SELECT qname, list_sort(list_distinct(list({{'s': pos, 'e': rpos}}))) AS x, sum(quantity) AS cov FROM reads WHERE chrm = 'R' GROUP BY 1),
-i AS (SELECT *, 't' || qname AS transcript_id, format('gene_id "g{{}}"; transcript_id "t{{}}";', floor(qname / 100)::BIGINT, qname) AS ids FROM t),
-l AS (SELECT transcript_id, 0 AS k, concat_ws(chr(9), 'R', 'strandloom', 'transcript', x[1].s + 1, x[len(x)].e, '1000', '+', '.', ids || printf(' cov "%.4f";', cov)) AS value FROM i
-UNION ALL SELECT transcript_id, n AS k, concat_ws(chr(9), 'R', 'strandloom', 'exon', x[n].s + 1, x[n].e, '1000', '+', '.', ids || ' exon "' || n || '";') FROM (SELECT *, unnest(range(1, len(x) + 1)) AS n FROM i))
+    "gtf_format": f"""WITH {READS_SQL}, t AS (SELECT chrm, strand, qname, list_sort(list_distinct(list({{'s': pos, 'e': rpos}}))) AS x, sum(quantity) AS cov FROM reads GROUP BY 1, 2, 3),
+i AS (SELECT *, 't' || qname || '.' || chrm || strand AS transcript_id, format('gene_id "g{{}}"; transcript_id "t{{}}.{{}}{{}}";', floor(qname / 100)::BIGINT, qname, chrm, strand) AS ids FROM t),
+l AS (SELECT transcript_id, 0 AS k, concat_ws(chr(9), chrm, 'strandloom', 'transcript', x[1].s + 1, x[len(x)].e, '1000', strand, '.', ids || printf(' cov "%.4f";', cov)) AS value FROM i
+UNION ALL SELECT transcript_id, n AS k, concat_ws(chr(9), chrm, 'strandloom', 'exon', x[n].s + 1, x[n].e, '1000', strand, '.', ids || ' exon "' || n || '";') FROM (SELECT *, unnest(range(1, len(x) + 1)) AS n FROM i))
 SELECT transcript_id, k::INTEGER AS k, value FROM l""",
     "tsv_format": "SELECT concat_ws(chr(9), p_partkey, p_name, p_brand, p_size, printf('%.2f', p_retailprice)) AS value FROM part",
     "vertex_sums": f"""WITH {_GRAPHS} SELECT graph, v, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, sum(i * w) AS w_in, sum(o * w) AS w_out FROM (SELECT graph, s AS v, 0 AS i, 1 AS o, w FROM edges UNION ALL SELECT graph, t, 1, 0, w FROM edges) GROUP BY 1, 2""",
