@@ -219,3 +219,31 @@ def test_parameters_by_data_type():
     assert for_data_type("ont").min_junction_support == 2 and for_data_type("paired_end").min_bundle_gap == 200
     with pytest.raises(ValueError):
         for_data_type("unknown")
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from strandloom.operators.components import components
+
+    edges = [(k, k + 1) for k in range(15)] + [(100, k) for k in range(101, 120)] + [(200, 200), (301, 300)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(16)} | {k: 100 for k in range(100, 120)} | {200: 200, 300: 300, 301: 300}
+
+
+def test_introns_of_empty_and_odd_chains(spark):
+    from strandloom.functions import arrays as A
+
+    rows = spark.createDataFrame([([],), ([1, 5],), ([1, 5, 9],)], "c array<int>").select(A.introns(F.col("c")).alias("i")).collect()
+    assert [[tuple(x) for x in r.i] for r in rows] == [[], [(1, 5)], [(1, 5)]]
+
+
+def test_two_spliced_reads_become_a_graph(spark):
+    from strandloom.operators import chains, splice
+
+    reads = [(1, "a", 0, 100, [(0, 20), (60, 100)], [20, 60], "+"), (1, "b", 0, 100, [(0, 20), (60, 100)], [20, 60], "+"), (1, "c", 5, 18, [(5, 18)], [], None)]
+    df = spark.createDataFrame(reads, "graph long, qname string, pos int, rpos int, exons array<struct<start:int,end:int>>, chain array<int>, xs string")
+    found = splice.graph_tables(df, ["graph"], chains.chain_counts(df, ["graph"]), width=16)
+    exons = sorted((r.start, r.end, r.ltype, r.rtype, round(r.ave, 3)) for r in found["exons"].collect())
+    assert exons == [(0, 20, "start", "left", 2.65), (60, 100, "right", "end", 2.0)]
+    assert sorted((r.s, r.t, round(r.w, 3), r.kind, r.strand) for r in found["edges"].collect()) == [(0, 1, 2.65, "source", "."), (1, 2, 2.0, "junction", "+"), (2, 3, 2.0, "sink", ".")]
+    paths = {r.qname: r.path for r in splice.read_paths(df, found["vertices"], ["graph"], "qname", 16).collect()}
+    assert paths == {"a": [1, 2], "b": [1, 2], "c": [1]}
