@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import introns, pairs
+from strandloom.operators.components import components
 from strandloom.operators.intervals import _bin
 
 
@@ -55,16 +56,23 @@ def near_opposite(rows: DataFrame, keys: list[str], l: str, r: str, strand: str,
 def similar_bundles(positions: DataFrame, least: float, most_positions: int, bundle: str = "bundle", p: str = "p") -> DataFrame:
     """(i, j, common, ratio) for i < j: shared positions over the smaller set, at least `least`.
 
-    A self-join on positions; bundles of more than `most_positions` are not compared.
+    Enough shared positions must touch the rarest few of the smaller set, so only those look for partners; each pair found is
+    then counted on the whole sets. Bundles of more than `most_positions` are not compared.
     """
     own = positions.select(F.col(bundle).alias("b"), F.col(p).alias("p")).distinct()
-    sizes = own.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") <= most_positions)
-    sized = own.join(sizes, "b")
-    left = sized.select(F.col("b").alias("i"), "p", F.col("n").alias("n1"))
-    right = sized.select(F.col("b").alias("j"), "p", F.col("n").alias("n2"))
-    common = left.join(right, "p").where("i < j").groupBy("i", "j", "n1", "n2").agg(F.count("*").alias("common"))
-    ratio = F.col("common") / F.least("n1", "n2")
-    return common.where(ratio >= least).select("i", "j", "common", ratio.alias("ratio"))
+    sets = own.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") <= most_positions)
+    often = own.join(sets, "b").join(own.groupBy("p").agg(F.count("*").alias("_often")), "p")
+    ranked = often.withColumn("_k", F.row_number().over(Window.partitionBy("b").orderBy("_often", "p")))
+    need = F.ceil(F.col("n") * F.lit(float(least)) - F.lit(1e-9))
+    asks = ranked.where(F.col("_k") <= F.col("n") - F.greatest(need, F.lit(1)) + 1).select("p", F.col("b").alias("a"), F.col("n").alias("na"))
+    held = ranked.select("p", F.col("b").alias("c"), F.col("n").alias("nc"))
+    larger = (F.col("na") < F.col("nc")) | ((F.col("na") == F.col("nc")) & (F.col("a") < F.col("c")))
+    met = asks.join(held, "p").where(larger).select("a", "c").distinct()
+    whole = own.join(sets, "b").groupBy("b").agg(F.collect_list("p").alias("_set"))  # at most `most_positions` each
+    both = met.join(whole.select(F.col("b").alias("a"), F.col("_set").alias("_x")), "a").join(whole.select(F.col("b").alias("c"), F.col("_set").alias("_y")), "c")
+    common = F.size(F.array_intersect("_x", "_y")).cast("long")
+    found = both.select(F.least("a", "c").alias("i"), F.greatest("a", "c").alias("j"), common.alias("common"), (common / F.least(F.size("_x"), F.size("_y"))).alias("ratio"))
+    return found.where(F.col("ratio") >= least)
 
 
 def jaccard(common: Column, a: Column, b: Column) -> Column:
@@ -104,10 +112,14 @@ def capped_groups(similar: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return similar.groupBy(*keys).applyInPandas(union, schema)
 
 
+def bundle_groups(similar: DataFrame, limit: int) -> DataFrame:
+    """(member, root) as `capped_groups` over all pairs (i, j, ratio): what is not connected cannot unite, so a component is a task."""
+    found = components(similar.select(F.col("i").alias("u"), F.col("j").alias("v"))).withColumnRenamed("id", "i")
+    return capped_groups(similar.join(found, "i"), ["component"], limit).select("member", "root")
+
+
 def gap_clusters(rows: DataFrame, keys: list[str], bounds: list[str], gap: int) -> DataFrame:
     """`rows` with cluster: split by each bound in turn wherever it jumps by more than `gap` within the cluster so far."""
-    from pyspark.sql import Window
-
     parts = list(keys)
     for k, c in enumerate(bounds):
         w = Window.partitionBy(*parts).orderBy(c)
