@@ -71,6 +71,13 @@ def intron_chain(exons: Column) -> Column:
     return F.when(n > 0, F.flatten(F.zip_with(F.slice(exons, 1, F.greatest(n, F.lit(0))), F.slice(exons, 2, F.greatest(n, F.lit(0))), lambda x, y: F.array(x["end"], y["start"])))).otherwise(F.array().cast("array<int>"))
 
 
+def exons_of(chain: Column, start: Column, end: Column) -> Column:
+    """The exons that a chain leaves between start and end."""
+    j = introns(chain)
+    starts, ends = F.concat(F.array(start), F.transform(j, lambda x: x["r"])), F.concat(F.transform(j, lambda x: x["l"]), F.array(end))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
 def exon_length(exons: Column) -> Column:
     return F.aggregate(exons, F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
 

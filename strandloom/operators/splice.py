@@ -260,3 +260,27 @@ def without_introns(chain: Column, gaps: Column) -> Column:
     """`chain` without the introns that are among `gaps` (array<struct<l, r>>)."""
     kept = F.filter(introns(chain), lambda x: ~F.exists(gaps, lambda g: (g["l"] == x["l"]) & (g["r"] == x["r"])))
     return F.flatten(F.transform(kept, lambda x: F.array(x["l"], x["r"])))
+
+
+def bridged(mates: DataFrame, tables: dict[str, DataFrame], pair: str, p: Parameters = Parameters(), width: int = BIN) -> DataFrame:
+    """(graph, pair, chain, rank, length, choices): mates (rpos, pos, chain; r_pos, r_rpos, r_chain) bridged over their graph.
+
+    Between the vertices of the two ends the best `bridge_candidates` paths are tried in order; the first whose introns agree
+    with both mates' and whose length without introns lies in the insert sizes is taken, choices says how many fit.
+    """
+    from strandloom.functions.arrays import increasing, intron_chain, intron_length
+    from strandloom.operators import graphs as G
+
+    keys = ["graph"]
+    ends = stored(bridge_ends(mates, tables["vertices"], keys, pair, p.bridge_end_relaxing, width).where("s <= t"), "bridge-ends")
+    light = adjacent_edges(tables["vertices"], tables["edges"], keys, p.adjacent_weight)
+    every = tables["edges"].where("kind in ('junction', 'adjacent')").select("graph", "s", "t", "w").unionByName(light.select("graph", "s", "t", "w"))
+    paths = stored(G.paths_between(every, ends.select("graph", "s", "t"), p.bridge_candidates, p.bridge_stack).withColumn("name", F.struct("s", "t", "rank")), "bridge-paths")
+    gaps = light.where("l < r").groupBy("graph").agg(F.collect_set(F.struct("l", "r")).alias("_gaps"))  # gaps of one graph are no introns
+    over = path_exons(paths, tables["vertices"], keys, "name").join(gaps, keys, "left").select("graph", "name.*", intron_chain(F.col("exons")).alias("_over"), F.coalesce("_gaps", F.array().cast(dict(gaps.dtypes)["_gaps"])).alias("_gaps"))
+    met = ends.join(over, ["graph", "s", "t"]).join(mates, ["graph", pair])
+    own = F.array_distinct(F.concat(introns(F.col("chain")), introns(without_introns(F.col("_over"), F.col("_gaps"))), introns(F.col("r_chain"))))
+    whole = F.flatten(F.transform(F.array_sort(own), lambda x: F.array(x["l"], x["r"])))
+    tried = met.withColumn("_whole", whole).where(increasing(F.col("_whole")) & ((F.size("_whole") == 0) | ((F.array_min("_whole") > F.col("pos")) & (F.array_max("_whole") < F.col("r_rpos")))))
+    tried = tried.select("graph", pair, "rank", F.col("_whole").alias("chain"), (F.col("r_rpos") - F.col("pos") - intron_length(F.col("_whole"))).alias("length"))
+    return G.bridges(tried, ["graph", pair], ["rank"], "length", p.insertsize_low, p.insertsize_high)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strandloom.config import Parameters
 from strandloom.operators import assembly as A
 from strandloom.operators import chains as C
+from strandloom.operators import graphs as G
+from strandloom.scratch import stored
 from strandloom.sources import files
 
 READ = "sample_id int, chrm string, strand string, qname long, exons array<struct<start:int,end:int>>, xs string"
@@ -23,11 +25,11 @@ def reads(spark, plan):
     return rows.select("*", F.when(F.size("exons") > 1, chain).otherwise(F.array().cast("array<int>")).alias("chain"), F.col("exons")[0]["start"].alias("pos"), F.element_at("exons", -1)["end"].alias("rpos"))
 
 
-def test_two_samples_are_one_group_and_give_both_isoforms(spark):
+def test_two_samples_are_one_group_and_give_both_isoforms(spark, tmp_path):
     df = reads(spark, [(0, "1", LONG, 12), (0, "1", SKIP, 6), (1, "1", LONG, 9), (2, "2", LONG, 5), (1, "1", [(5000, 5400)], 8)])
-    found = A.assemble(df, ["chrm", "strand"], width=256).collect()
+    found = stored(A.assemble(df, ["chrm", "strand"], width=256), "found")
     chains = {}
-    for r in found:
+    for r in found.collect():
         chains.setdefault((r.chrm, r.sample_id), {})[tuple(r.chain)] = (round(r.cov, 3), r.n_samples, list(r.samples), r.abd)
     long, skip = (400, 600, 900, 1200), (400, 1200)
     assert set(chains["1", -1]) == {long, skip} == set(chains["1", 0])
@@ -35,12 +37,45 @@ def test_two_samples_are_one_group_and_give_both_isoforms(spark):
     assert set(chains["1", 1]) == {long, ()}
     assert chains["2", 2] == {long: (5.0, 1, [2], 5.0)} and ("2", -1) not in chains
 
-    merged = A.merged(A.assemble(df, ["chrm", "strand"], width=256), ["chrm", "strand"])
+    merged = stored(A.merged(found, ["chrm", "strand"]), "merged")
     rows = {(r.chrm, tuple(r.chain)): r for r in merged.collect()}
     assert [tuple(x) for x in rows["1", long].exons] == LONG and rows["1", long].kept
     assert set(rows) == {("1", long), ("1", skip), ("1", ()), ("2", long)}
-    lines = [r.value for r in files.gtf_lines(A.as_gtf(merged.where("kept"), ["chrm", "strand"], "chrm", "strand")).collect()]
+    gtf = A.as_gtf(merged.where("kept"), ["chrm", "strand"], "chrm", "strand")
+    lines = [r.value for r in files.gtf_lines(gtf).collect()]
     assert sum("\ttranscript\t" in x for x in lines) == 4 and sum("\texon\t" in x for x in lines) == 3 + 2 + 1 + 3
+    A.write_individual(gtf, str(tmp_path / "own"))
+    own = {r.sample_id: r.n for r in spark.read.text(str(tmp_path / "own")).groupBy("sample_id").agg(F.count("*").alias("n")).collect()}
+    assert own == {-1: 4 + 3, 0: 4 + 3, 1: 4 + 2, 2: 4}
+
+
+def test_mates_are_bridged_over_the_group(spark):
+    df = reads(spark, [(0, "1", LONG, 4), (1, "1", [(150, 400), (600, 700)], 2), (1, "1", [(800, 900), (1200, 1350)], 2)])
+    df = df.withColumn("mate", F.when(F.col("qname").isin(4, 5), F.col("qname") + 2))
+    p = Parameters(insertsize_high=900)
+    one = df.withColumn("graph", F.lit("g"))
+    found = {r.qname: (list(r.chain), r.pos, r.rpos, [tuple(x) for x in r.exons], r.mate) for r in A.bridge_reads(one, "qname", "mate", p, 256).where("sample_id = 1").collect()}
+    whole = ([400, 600, 900, 1200], 150, 1350, [(150, 400), (600, 900), (1200, 1350)], None)
+    assert found == {4: whole, 5: whole}
+    short = A.bridge_reads(one, "qname", "mate", Parameters(insertsize_high=100), 256)
+    assert short.count() == 8
+
+
+def test_paths_between_equal_enumeration(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(g, s, t, float(rng.randint(1, 9))) for g in (1, 2) for s in range(7) for t in range(s + 1, 8) if rng.random() < 0.5]
+    pairs = [(g, s, t) for g in (1, 2, 3) for s in (0, 2, 3) for t in (3, 6, 7)]
+    got = {}
+    for r in G.paths_between(spark.createDataFrame(edges, "graph long, s long, t long, w double"), spark.createDataFrame(pairs, "graph long, s long, t long"), 1000).collect():
+        got.setdefault((r.graph, r.s, r.t), []).append((r.rank, tuple(r.path), tuple(r.bottlenecks)))
+    for g, s, t in pairs:
+        w = {(a, b): x for h, a, b, x in edges if h == g}
+        every = [(s, *m, t) for k in range(t - s) for m in itertools.combinations(range(s + 1, t), k)] if s < t else [(s,)] if s == t else []
+        every = [(tuple(sorted(w[e] for e in zip(x, x[1:], strict=False))[:5]), x) for x in every if all(e in w for e in zip(x, x[1:], strict=False))]
+        every.sort(key=lambda x: (tuple(-v for v in x[0]), len(x[1]), x[1]))
+        assert [(p, low) for _, p, low in sorted(got.get((g, s, t), []))] == [(p, low) for low, p in every]
 
 
 def test_nothing_in_nothing_out(spark):
