@@ -100,3 +100,10 @@ def test_similarity_by_rare_positions_equals_brute_force(spark):
         want = {(i, j, len(sets[i] & sets[j])) for i, j in itertools.combinations(sets, 2) if len(sets[i] & sets[j]) >= max(1, least * min(len(sets[i]), len(sets[j])) - 1e-9)}
         assert {(r.i, r.j, r.common) for r in C.similar_bundles(df, least, 100).collect()} == want
     assert Parameters().max_junctions_compared * 2 == 1000
+
+
+def test_graphs_without_a_path_give_no_row(spark):
+    broken = spark.createDataFrame([(1, 0, 1, 5.0), (1, 2, 3, 5.0), (2, 0, 1, 5.0), (2, 1, 2, 5.0)], "graph long, s long, t long, w double")
+    phases = spark.createDataFrame([(1, [0, 1], 1)], "graph long, path array<long>, n long")
+    for found in (G.decompose(broken), G.decompose(broken, phases), G.greedy_paths(broken), G.top_paths(broken), G.bottleneck_paths(broken)):
+        assert [r.graph for r in found.collect()] == [2]
