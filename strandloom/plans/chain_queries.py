@@ -12,6 +12,7 @@ from strandloom.operators import graphs as G
 from strandloom.operators import mates as M
 from strandloom.operators import transcripts as T
 from strandloom.sources import files
+from strandloom.scratch import stored
 from strandloom.sources.tables import CHAINS_SQL, EVENTS_SQL, READS_SQL, chains, events, reads, table
 
 DAY = 86_400
@@ -43,9 +44,7 @@ def overlap_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = C.splice_positions(chains(spark, sf_dir), ["bundle"])
     similar = C.similar_bundles(positions, 0.80, 2 * P.max_junctions_compared)
-    # regions keep groups apart: bundles of one thousand of order keys
-    region = F.floor(F.col("i") / 1000)
-    return C.capped_groups(similar.where(region == F.floor(F.col("j") / 1000)).withColumn("region", region), ["region"], 200)
+    return C.bundle_groups(stored(similar, "similar"), P.max_group_size)
 
 
 def theta_near(spark: SparkSession, sf_dir: str) -> DataFrame:
