@@ -72,6 +72,17 @@ def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, whose keys are unique: those marked `hot` by broadcast, the rest by a shuffle.
+
+    The caller sees to it that `hot` holds for a bounded number of keys (such as shares of all rows above a limit), which
+    are those that would gather too many rows of `left` in one task. Both are read twice: give stored tables.
+    """
+    frequent, rare = right.where(hot), right.where(~hot)
+    apart = left.join(F.broadcast(frequent.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(frequent), on).unionByName(apart.join(rare, on, how))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, substring_dedup, vector_search
+from strandloom.llm import decontamination, filter_audit, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, substring_dedup, vector_search
 from strandloom.llm.common import held_out, small_side, table
 
 
@@ -60,8 +60,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan, op10_substring_dedup, op11_filter_audit)}
 
 
 def _license_sql() -> str:
@@ -101,4 +105,5 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, le
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
         "op5_license_scan": _license_sql(),
+        "op11_filter_audit": filter_audit.sql(),
     }
