@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, filter_audit, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, substring_dedup, vector_search
+from strandloom.llm import decontamination, filter_audit, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, substring_dedup, token_alignment, vector_search
 from strandloom.llm.common import held_out, small_side, table
 
 
@@ -64,8 +64,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text")).documents
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan, op10_substring_dedup, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan, op10_substring_dedup, op11_filter_audit, op12_token_alignment)}
 
 
 def _license_sql() -> str:
