@@ -43,7 +43,7 @@ MEMO, MEMO_CHARS = 300_000, 40
 HOT_GROUPS, HOT_PAIRS = 1 << 17, 1 << 14
 MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNEVEN = re.compile(f"[{_WHITE}] | $")
 #: From a space to the last character before a space that follows a visible one.
 _PIECES = re.compile(f" [^ ]*(?:(?<=[{_WHITE}]) [^ ]*)*")
