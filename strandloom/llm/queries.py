@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, filter_audit, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, substring_dedup, token_alignment, vector_search
+from strandloom.llm import decontamination, filter_audit, html_extraction, language_id, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, substring_dedup, token_alignment, vector_search
 from strandloom.llm.common import held_out, small_side, table
 
 
@@ -68,8 +68,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text")).documents
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extraction.extract(pages, html_extraction.learn(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan, op10_substring_dedup, op11_filter_audit, op12_token_alignment)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_decontamination, op4_vector_search, op5_license_scan, op6_quality, op7_sharding, op8_mixing, op9_secret_scan, op10_substring_dedup, op11_filter_audit, op12_token_alignment, op13_html_extraction)}
 
 
 def _license_sql() -> str:
