@@ -13,8 +13,8 @@ groups than groups:
 Joins by group and by pair broadcast what is frequent (more than 1 / `HOT_GROUPS` or 1 / `HOT_PAIRS` of the rows, so a bounded number of
 keys) and shuffle the rest, so a group that every document holds is no task of its own. Pairs are bounded by the vocabularies.
 
-Neither vocabulary has a token over the border of a visible character and a space, so texts are cut there and each
-distinct piece is tokenised once a task (`MEMO` pieces are remembered); the tests hold this against whole texts.
+Texts are tokenised whole and grouped in slices of texts: shared ends by a search in sorted offsets, equal groups by hash and comparison.
+A's merges are run by tiktoken, several times faster than its own library; the tests hold its ids against that library's.
 
 Defined cases: null and empty texts, and texts that the tokens of A or of B do not spell (a U+2581, which B reads as
 a space), have no tokens: zeros and an empty digest. Rows that repeat a doc_id count each. Empty tables give no rows. Extra columns
@@ -24,9 +24,10 @@ but the text are kept; those of the result's names are replaced.
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -35,19 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import hot_join, slices, stored, utf8
+from strandloom.llm.common import hot_join, mixed, slices, stored, utf8
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO, MEMO_CHARS = 300_000, 40
+SEED = 0x9E3779B97F4A7C15
 HOT_GROUPS, HOT_PAIRS = 1 << 17, 1 << 14
 MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
-_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNEVEN = re.compile(f"[{_WHITE}] | $")
-#: From a space to the last character before a space that follows a visible one.
-_PIECES = re.compile(f" [^ ]*(?:(?<=[{_WHITE}]) [^ ]*)*")
 _MARK = "\u2581"
+# Fixed value: what byte-level vocabularies split texts by before they merge.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _byte_letters() -> dict[str, int]:
@@ -58,50 +57,43 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokens(NamedTuple):
-    """Both tokenizers and the bytes of their ids."""
+    """Both tokenizers, and the bytes, lengths and decimal names of their ids."""
 
     a: object
     b: object
     bytes_a: list[bytes]
     bytes_b: list[bytes]
-    space: int
+    lengths_a: np.ndarray
+    lengths_b: np.ndarray
 
     @staticmethod
     def load(a: bytes, b: bytes) -> Tokens:
+        """A from a byte-level BPE's JSON file (its ids are in the order of its merges), B from a sentencepiece model."""
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        first = Tokenizer.from_buffer(a)
-        first.encode_special_tokens = True  # their strings inside texts are plain text
-        second = sentencepiece.SentencePieceProcessor(model_proto=b)
         letters = _byte_letters()
-        of_a = [b""] * first.get_vocab_size()
-        for piece, k in first.get_vocab().items():
-            of_a[k] = bytes(map(letters.__getitem__, piece)) if all(c in letters for c in piece) else piece.encode()
+        model = json.loads(a)
+        special = {x["content"] for x in model["added_tokens"]}  # their strings inside texts are plain text
+        ranks = {bytes(map(letters.__getitem__, piece)): k for piece, k in model["model"]["vocab"].items() if piece not in special}
+        first = tiktoken.Encoding("a", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        of_a = [b""] * (max(ranks.values()) + 1)
+        for raw, k in ranks.items():
+            of_a[k] = raw
+        second = sentencepiece.SentencePieceProcessor(model_proto=b)
         pieces = [second.id_to_piece(k) for k in range(len(second))]
         of_b = [bytes([int(p[3:5], 16)]) if second.is_byte(k) else b"" if second.is_control(k) or second.is_unknown(k) else p.replace(_MARK, " ").encode() for k, p in enumerate(pieces)]
-        return Tokens(first, second, of_a, of_b, second.piece_to_id(_MARK))
-
-    def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The ids of each piece, which starts with a space; B adds this space itself."""
-        ours = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        theirs = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [(x, y if len(p) > 1 else [self.space]) for p, x, y in zip(pieces, ours, theirs, strict=True)]
-
-    def groups(self, piece: str, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """How many tokens of A and of B stand before the end of each group; None where either does not spell the piece."""
-        raw = piece.encode()
-        if b"".join([self.bytes_a[k] for k in a]) != raw or b"".join([self.bytes_b[k] for k in b]) != raw:
-            return None
-        cuts, j, at_a, at_b = [], 0, 0, 0
-        for i, k in enumerate(a, 1):
-            at_a += len(self.bytes_a[k])
-            while at_b < at_a:
-                at_b += len(self.bytes_b[b[j]])
-                j += 1
-            if at_a == at_b:
-                cuts.append((i, j))
-        return cuts
+        return Tokens(first, second, of_a, of_b, np.array(list(map(len, of_a))), np.array(list(map(len, of_b))))
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """The ids of space and text in A, and of text in B, which adds the space; None where either does not spell it."""
+        found = []
+        for text, theirs in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            raw = (" " + text).encode()
+            ours = self.a.encode_ordinary(" " + text) if text else []
+            right = text and b"".join([self.bytes_b[k] for k in theirs]) == raw == self.a.decode_bytes(ours)
+            found.append((ours, theirs) if right else None)
+        return found
 
     def links(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
         """The overlapping pairs of one group."""
@@ -140,46 +132,47 @@ def _files(rows: DataFrame, a: str, b: str) -> tuple:
     return tuple(found)
 
 
-def pieces(text: str) -> list[str]:
-    """Space and text, cut before each space that follows a visible character."""
-    whole = " " + text
-    return _PIECES.findall(whole) if _UNEVEN.search(whole) else [" " + w for w in text.split(" ")]
-
-
-class _Aligned(NamedTuple):
-    """What one piece comes to."""
-
-    name: str
-    n_a: int
-    n_b: int
-    groups: tuple[str, ...]
-
-
-class _Aligner:
-    """Pieces of texts and their groups, remembered up to a bound."""
-
-    def __init__(self, tokens: Tokens):
-        self.tokens, self.memo = tokens, {}
-
-    def learn(self, wanted: set[str]) -> dict[str, _Aligned | None]:
-        """What each wanted piece comes to; None for a piece that is not spelt."""
-        known = {p: self.memo[p] for p in wanted if p in self.memo}
-        new = [p for p in wanted if p not in known]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        for p, (a, b) in zip(new, self.tokens.encode(new), strict=True):
-            cuts = self.tokens.groups(p, a, b)
-            found = None
-            if cuts is not None:
-                names, i, j = [], 0, 0
-                for m, n in cuts:
-                    names.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-                    i, j = m, n
-                found = _Aligned(";".join(names), len(a), len(b), tuple(names))
-            known[p] = found
-            if len(p) <= MEMO_CHARS and len(self.memo) < MEMO:
-                self.memo[p] = found
-        return known
+class Groups(NamedTuple):
+    """The groups of some texts: tokens before each one's end, and for each the number of its like among the distinct `names`."""
+
+    ends_a: np.ndarray
+    ends_b: np.ndarray
+    like: np.ndarray
+    names: list[str]
+
+
+def _flat(ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The token numbers of groups `which`, one after the other."""
+    first = np.concatenate(([0], ends[:-1]))[which]
+    n = ends[which] - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def grouped(a: np.ndarray, b: np.ndarray, tokens: Tokens, seed: int = SEED) -> Groups:
+    """Groups of ids that spell the same bytes, equal ones told by hash and then compared id by id."""
+    if not len(a):
+        return Groups(*np.zeros((3, 0), np.int64), [])
+    at_a, at_b = np.cumsum(tokens.lengths_a[a]), np.cumsum(tokens.lengths_b[b])
+    place = np.searchsorted(at_b, at_a)
+    both = at_b[place] == at_a
+    ends_a, ends_b = np.flatnonzero(both) + 1, place[both] + 1
+    hashes = np.zeros(len(ends_a), np.uint64)
+    for ids, ends in ((a, ends_a), (b, ends_b)):
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        inside = np.arange(len(ids)) - np.repeat(starts, ends - starts)
+        each = mixed((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(seed) + inside.astype(np.uint64))
+        hashes = mixed(hashes * np.uint64(seed | 1) + np.add.reduceat(each, starts) + (ends - starts).astype(np.uint64))
+    _, first, like = np.unique(hashes, return_index=True, return_inverse=True)
+    for ids, ends in ((a, ends_a), (b, ends_b)):
+        n = np.diff(ends, prepend=0)
+        if (n != n[first][like]).any() or (ids != ids[_flat(ends, first[like])]).any():  # two groups of one hash
+            return grouped(a, b, tokens, seed + 2)
+    names = []
+    left, right = a.tolist(), b.tolist()
+    for g in first.tolist():
+        x, y = (0, 0) if g == 0 else (ends_a[g - 1], ends_b[g - 1])
+        names.append(f"{','.join(map(str, left[x : ends_a[g]]))}|{','.join(map(str, right[y : ends_b[g]]))}")
+    return Groups(ends_a, ends_b, like, names)
 
 
 def tokenised(documents: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, text: str = "text") -> DataFrame:
@@ -193,33 +186,28 @@ def tokenised(documents: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B
     kind = kind.add("groups_sha256", "string").add("_groups", T.ArrayType(T.StringType(), False)).add("_times", T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(_tokens(shared))
+        tokens = _tokens(shared)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for i, j in slices(offsets):
                 part = batch.slice(i, j - i)
-                own = [pieces(t) if t else [] for t in part.column(1).to_pylist()]
-                known = aligner.learn(set().union(*own))
+                own = tokens.encode([t or "" for t in part.column(1).to_pylist()])
+                spelt = [k for k, x in enumerate(own) if x]
+                n = np.array([[len(own[k][0]), len(own[k][1])] for k in spelt], np.int64).reshape(-1, 2)
+                a, b = (np.fromiter(chain.from_iterable([own[k][side] for k in spelt]), np.int64, int(n[:, side].sum())) for side in (0, 1))
+                found = grouped(a, b, tokens)
+                bounds = np.searchsorted(found.ends_a, np.cumsum(n[:, 0]), "right")  # a text's end is a group's
+                firsts = np.concatenate(([0], bounds[:-1])).astype(np.int64)[: len(bounds)]
                 numbers = np.zeros((3, len(own)), np.int64)
-                digests, names, times, ends = [], [], [], [0]
-                for k, found in enumerate(own):
-                    met = Counter(found)
-                    all_of = [(known[p], n) for p, n in met.items()]
-                    if not found or any(x is None for x, _ in all_of):
-                        digests.append("")
-                        ends.append(len(names))
-                        continue
-                    digests.append(hashlib.sha256(";".join([known[p].name for p in found]).encode()).hexdigest())
-                    groups: Counter = Counter()
-                    for x, n in all_of:
-                        numbers[:, k] += (n * x.n_a, n * x.n_b, n * len(x.groups))
-                        for g in x.groups:
-                            groups[g] += n
-                    names += groups.keys()
-                    times += groups.values()
-                    ends.append(len(names))
-                at = pa.array(ends, pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(names, pa.string())), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
+                numbers[0, spelt], numbers[1, spelt], numbers[2, spelt] = n[:, 0], n[:, 1], bounds - firsts
+                digests, named = [""] * len(own), np.array(found.names, object)[found.like]
+                for k, x, y in zip(spelt, firsts.tolist(), bounds.tolist(), strict=True):
+                    digests[k] = hashlib.sha256(";".join(named[x:y].tolist()).encode()).hexdigest()
+                of = np.repeat(np.array(spelt, np.int64), bounds - firsts)
+                both, times = np.unique(of * max(1, len(found.names)) + found.like, return_counts=True)
+                text_of, which = np.divmod(both, max(1, len(found.names)))
+                at = pa.array(np.searchsorted(text_of, np.arange(len(own) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(found.names, pa.string()).take(pa.array(which))), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, numbers), pa.array(digests, pa.string()), *lists], names=kind.names)
 
     return stored(rows.mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id()), "tokenised")
