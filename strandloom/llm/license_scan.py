@@ -37,11 +37,12 @@ KNOWN = {
 # Equivalent spellings, whole words only, each pair applied in this order.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("favour", "favor"), ("honour", "honor"), ("per cent", "percent"), ("http", "https"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"))
 
-# A copyright notice with its year, to the end of its line or to the words that a licence begins with; those are kept.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]{0,200}?[0-9]{4}[^\n]{0,200}?($|permission is |permission to |redistribution and use|licensed under|this program is|this software is|this is free|everyone is permitted)"
+# A copyright notice with its year, however long, to the end of its line or to the words that a licence begins with; those are kept.
+OPENING = "permission is |permission to |redistribution and use|licensed under|this program is|this software is|this is free|everyone is permitted"
+COPYRIGHT_LINE = rf"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*?[0-9]{{4}}[^\n]*?($|{OPENING})"
 
-# What the plain form lacks besides: a title, lines that reserve all rights, and copyright lines without a year that say (c) or stand alone.
-TITLE = r"\A[^a-z0-9]*(?:the )?(?:mit|isc|bsd|new bsd|simplified bsd|modified bsd|[23]-clause bsd|zlib|boost software|apache|gnu|mozilla public|unlicense|creative commons|do what the fuck)(?:[^a-z0-9\n][^\n]{0,60})?(?:\n|\z)"
+# What the plain form lacks besides: a title (the line, or what stands before the licence's first words in it), lines that reserve all rights, and copyright lines without a year that say (c) or stand alone.
+TITLE = r"\A[^a-z0-9]*(?:the )?(?:mit|isc|bsd|new bsd|simplified bsd|modified bsd|[23]-clause bsd|zlib|boost software|apache|gnu|mozilla public|unlicense|creative commons|do what the fuck)(?:[^a-z0-9\n][^\n]*?)?(?:\n|\z|(?=" + OPENING + "|terms and conditions))"
 RESERVED = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 YEARLESS = r"(?m)^[^a-z0-9\n]*copyright[ \t]*(?:\(c\)|©)[^\n]*$"
 ALONE = r"(?:\A|\n[ \t]*\n)[^a-z0-9\n]*copyright [^\n]*(?=\n[ \t]*\n)"

@@ -1,8 +1,9 @@
 """Quality classification: logistic regression over hashed word n-grams, trained with FTRL-proximal updates.
 
 Words are runs of letters and digits (bytes of 0x80 and above count as letters) and runs of other visible
-characters; case is kept. The n-grams are single words and pairs of neighbours, hashed to 2^bits places; a
-document's vector holds the logarithm of one plus each place's count, scaled to length one.
+characters; case is kept. The n-grams are single words and pairs of neighbours, hashed to 2^bits places. One more place, of
+its own, counts words that repeat one of the two words before them, whatever words they are. A document's vector holds the
+logarithm of one plus each place's count, scaled to length one.
 
 Training reads a bounded sample (about `most` rows, those of the smallest seeded hash), dealt by hash to
 `shards` learners. Each passes over its rows `passes` times with FTRL updates, and the learners' weights are
@@ -50,7 +51,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[tup
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         again = sum(int(x[a : max(a, b - k)].sum()) for k, x in enumerate(same, 1))
-        repeats = np.full(again, (1 << bits) - 1, np.uint64)
+        repeats = np.full(again, 1 << bits, np.uint64)
         places, n = np.unique(np.concatenate((one[a:b], two[a : max(a, b - 1)], repeats)).astype(np.int32), return_counts=True)
         values = np.log1p(n)
         out.append((places, values / max(1e-12, float(np.sqrt(values @ values)))))
@@ -58,10 +59,10 @@ def vectors(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[tup
 
 
 class Learner:
-    """Follow the regularised leader, per coordinate; the last place is the bias."""
+    """Follow the regularised leader, per coordinate; the last two places are the repeats and the bias."""
 
     def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+        self.z, self.n = np.zeros((1 << bits) + 2), np.zeros((1 << bits) + 2)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -114,9 +115,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
 
     # a group a learner: `shards` of them, whatever the number of partitions
     fitted = sample.groupBy(F.pmod("h", F.lit(shards))).applyInArrow(fit, "place int, w double, rows long")
-    # at most shards * (2^bits + 2) short rows, whatever the corpus
+    # at most shards * (2^bits + 3) short rows, whatever the corpus
     got = fitted.groupBy("place").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows")).toArrow()
-    weights = np.zeros((1 << bits) + 1)
+    weights = np.zeros((1 << bits) + 2)
     places, w = got["place"].to_numpy(), got["w"].to_numpy()
     total = max(1, int(got["rows"].to_numpy().sum()))
     weights[places[places >= 0]] = w[places >= 0] / total
@@ -127,7 +128,7 @@ def score(documents: DataFrame, weights: np.ndarray, text: str = "text", bits: i
     """`documents` with `score`: the probability of label 1, a sparse dot product a document."""
     kept = [c for c in documents.columns if c != "score"]
     schema = documents.select(*kept).schema.add("score", "double")
-    shared = documents.sparkSession.sparkContext.broadcast(weights)  # 2^bits + 1 floats
+    shared = documents.sparkSession.sparkContext.broadcast(weights)  # 2^bits + 2 floats
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.astype(np.float64)

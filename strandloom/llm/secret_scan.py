@@ -6,7 +6,7 @@ tokens say less. Digests (plain hex of a digest's length), UUIDs, dates with tim
 What looks like an identifier (runs of letters or of digits joined by separators) is judged by its letter runs alone.
 
 Defined cases: null text is empty; it has no spans and the digest of the empty list. Spans are code points, end
-exclusive. Texts are scanned whole; the spans of repeated rows are equal. Extra columns are kept; those
+exclusive. Texts are scanned and strings tokenised whole, whatever their length; the spans of repeated rows are equal. Extra columns are kept; those
 of the result's names are replaced.
 """
 
@@ -24,7 +24,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RATIO, SHORT_RATIO = 2.2, 1.8
 SHORTEST, LONG = 12, 20
 RUN = 3
-LONGEST = 4096
 
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -62,7 +61,7 @@ def random_spans(text: str, encoding, ratio: float = RATIO) -> list[tuple[int, i
         n = sum(map(len, parts))
         if n < SHORTEST:  # an identifier of short runs and numbers
             continue
-        tokens = sum(len(encoding.encode_ordinary(x[k : k + LONGEST])) for x in parts for k in range(0, len(x), LONGEST))
+        tokens = sum(len(encoding.encode_ordinary(x)) for x in parts)
         if n < (ratio if n >= LONG else min(ratio, SHORT_RATIO)) * tokens:
             found.append((m.start(), 3, m.end()))
     return found
