@@ -33,6 +33,7 @@ class Parameters:
     bridge_end_relaxing: int = 10
     min_transcript_coverage: float = 2.0
     max_decompose_ratio: float = 0.30
+    min_phase_count: int = 2
     single_exon_overlap: float = 0.80
     min_guaranteed_weight: float = 0.01
     score_threshold: float = 0.2

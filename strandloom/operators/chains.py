@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import introns, pairs
 from strandloom.operators.components import components
+from strandloom.operators.carry import BIN, join_on, previous, running
 from strandloom.operators.intervals import _bin
 
 
@@ -118,13 +119,15 @@ def bundle_groups(similar: DataFrame, limit: int) -> DataFrame:
     return capped_groups(similar.join(found, "i"), ["component"], limit).select("member", "root")
 
 
-def gap_clusters(rows: DataFrame, keys: list[str], bounds: list[str], gap: int) -> DataFrame:
+def gap_clusters(rows: DataFrame, keys: list[str], bounds: list[str], gap: int, width: int = BIN) -> DataFrame:
     """`rows` with cluster: split by each bound in turn wherever it jumps by more than `gap` within the cluster so far."""
     parts = list(keys)
     for k, c in enumerate(bounds):
-        w = Window.partitionBy(*parts).orderBy(c)
-        rows = rows.withColumn("_new", F.coalesce((F.col(c) - F.lag(c).over(w) > gap).cast("int"), F.lit(0)))
-        rows = rows.withColumn(f"_c{k}", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
+        # the distinct positions are numbered, and rows get the number of theirs
+        own = previous(rows.select(*parts, c).distinct(), parts, [c], {c: "_before"}, width)
+        own = own.withColumn("_new", F.coalesce((F.col(c) - F.col("_before") > gap).cast("long"), F.lit(0).cast("long")))
+        numbers = running(own, parts, [c], "_new", f"_c{k}", "sum", True, width).select(*parts, c, f"_c{k}")
+        rows = join_on(rows, numbers, [*parts, c])
         parts.append(f"_c{k}")
     names = [f"_c{k}" for k in range(len(bounds))]
     return rows.withColumn("cluster", F.concat_ws(".", *names)).drop(*names)

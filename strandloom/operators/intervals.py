@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 1 << 14
+from strandloom.operators import carry
+from strandloom.operators.carry import BIN
 
 
 def _bin(position: Column, width: int) -> Column:
@@ -18,7 +19,7 @@ def _bin(position: Column, width: int) -> Column:
 
 
 def _numbered(df: DataFrame, parts: list[str], start: str, end: str, gap: int, name: str) -> DataFrame:
-    """`name`: 0, 1, ... within `parts`, one more where a start lies beyond the furthest end so far by more than gap."""
+    """`name`: 0, 1, ... within `parts` (bins), one more where a start lies beyond the furthest end so far by more than gap."""
     order = Window.partitionBy(*parts).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", F.coalesce((F.col(start) > reach + gap).cast("int"), F.lit(0)))
@@ -28,21 +29,27 @@ def _numbered(df: DataFrame, parts: list[str], start: str, end: str, gap: int, n
 def _islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int, width: int) -> tuple[DataFrame, DataFrame]:
     local = _numbered(df.withColumn("_bin", _bin(F.col(start), width)), [*keys, "_bin"], start, end, gap, "_local")
     parts = local.groupBy(*keys, "_bin", "_local").agg(F.min(start).alias("_s"), F.max(end).alias("_e"), F.count("*").alias("_n"))
-    return local, _numbered(parts, keys, "_s", "_e", gap, "_island")
+    # a bin's own islands lie apart: one is new unless what earlier bins reach to comes near it, and those that are not new come first
+    by_bin = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = parts.groupBy(*keys, "_bin").agg(F.max("_e").alias("_far")).select(*keys, "_bin", F.max("_far").over(by_bin).alias("_reach"))
+    told = carry.join_on(parts, reach, [*keys, "_bin"]).withColumn("_fresh", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + gap), F.col("_s"))).drop("_reach")
+    last = told.groupBy(*keys, "_bin").agg(F.max("_fresh").alias("_last")).select(*keys, "_bin", F.max("_last").over(by_bin).alias("_begun"))
+    named = carry.join_on(told, last, [*keys, "_bin"])
+    return local, named.select(*parts.columns, F.coalesce("_fresh", "_begun").alias("_island"))
 
 
 def merge_islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, width: int = BIN) -> DataFrame:
     """(keys, start, end, n): unions of intervals no further apart than `gap`."""
     _, parts = _islands(df, keys, start, end, gap, width)
-    return parts.groupBy(*keys, "_island").agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.sum("_n").alias("n")).drop("_island")
+    return parts.groupBy(*keys, F.col("_island").alias("start")).agg(F.max("_e").alias("end"), F.sum("_n").alias("n"))
 
 
 def assign_islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, width: int = BIN) -> DataFrame:
     """`df` with island_start and island_end of the island each row lies in."""
     local, parts = _islands(df, keys, start, end, gap, width)
-    whole = Window.partitionBy(*keys, "_island")
-    names = parts.select(*keys, "_bin", "_local", F.min("_s").over(whole).alias("island_start"), F.max("_e").over(whole).alias("island_end"))
-    return local.join(names, [*keys, "_bin", "_local"]).drop("_bin", "_local")
+    whole = parts.groupBy(*keys, "_island").agg(F.max("_e").alias("island_end"))
+    names = carry.join_on(parts.select(*keys, "_bin", "_local", "_island"), whole, [*keys, "_island"]).withColumnRenamed("_island", "island_start")
+    return carry.join_on(local, names, [*keys, "_bin", "_local"]).drop("_bin", "_local")
 
 
 def depth(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", weight: str | None = None, width: int = BIN) -> DataFrame:
@@ -112,10 +119,10 @@ def without_contained(df: DataFrame, keys: list[str], start: str = "start", end:
     return marked.where(F.col("_seen").isNull() | (F.col("_seen") < F.col(end))).select(*keys, start, end)
 
 
-def segments(points: DataFrame, keys: list[str], point: str = "p") -> DataFrame:
+def segments(points: DataFrame, keys: list[str], point: str = "p", width: int = BIN) -> DataFrame:
     """(keys, start, end): consecutive distinct breakpoints."""
-    order = Window.partitionBy(*keys).orderBy(point)
-    return points.select(*keys, point).distinct().select(*keys, F.col(point).alias("start"), F.lead(point).over(order).alias("end")).where(F.col("end").isNotNull())
+    own = points.select(*keys, F.col(point).alias("start")).distinct()
+    return carry.following(own, keys, ["start"], {"start": "end"}, width).where("end is not null")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, tolerance: int, id_: str, width: int | None = None) -> DataFrame:

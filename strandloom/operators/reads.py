@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.config import Parameters
 from strandloom.functions.arrays import has_splice, reference_end, splices
+from strandloom.operators.carry import BIN, previous
 
 PAIRED, REVERSE, MATE_UNMAPPED, UNMAPPED, FIRST, SECONDARY = 0x1, 0x10, 0x8, 0x4, 0x40, 0x100
 
@@ -48,15 +49,13 @@ def accepted(reads: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     return reads.where(keep)
 
 
-def drop_runs(reads: DataFrame, keys: list[str], order: list[str], same: list[str]) -> DataFrame:
-    """Reads that do not repeat `same` of the read before them in `order`."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = [F.lag(c).over(w) for c in same]
-    marked = reads.withColumns({f"_p{k}": c for k, c in enumerate(before)})
-    equal = F.lit(True)
+def drop_runs(reads: DataFrame, keys: list[str], order: list[str], same: list[str], width: int = BIN) -> DataFrame:
+    """Reads that do not repeat `same` of the read before them in `order`, which begins with a position."""
+    marked = previous(reads, keys, order, {c: f"_p{k}" for k, c in enumerate(same)}, width, "_there")
+    equal = F.col("_there")
     for k, c in enumerate(same):
         equal &= F.col(f"_p{k}").eqNullSafe(F.col(c))
-    return marked.where(~equal).drop(*(f"_p{k}" for k in range(len(same))))
+    return marked.where(~equal).drop("_there", *(f"_p{k}" for k in range(len(same))))
 
 
 def routed(reads: DataFrame) -> DataFrame:

@@ -172,9 +172,9 @@ def path_exons(paths: DataFrame, vertices: DataFrame, keys: list[str], name: str
     return each.groupBy(*keys, name).agg(shrunk(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("lpos").alias("start"), F.col("rpos").alias("end")))), lambda x: F.struct(x["start"], x["end"]))).alias("exons"))
 
 
-def phases(paths: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, path, n): how many reads take each path."""
-    return paths.groupBy(*keys, "path").agg(F.count("*").alias("n"))
+def phases(paths: DataFrame, keys: list[str], least: int = 1, weight: str | None = None) -> DataFrame:
+    """(keys, path, n): how many reads take each path, of those that at least `least` take; `weight` counts a row's reads."""
+    return paths.groupBy(*keys, "path").agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") >= least)
 
 
 def distant(vertices: DataFrame, edges: DataFrame, keys: list[str], side: str) -> DataFrame:

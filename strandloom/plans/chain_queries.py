@@ -114,8 +114,7 @@ def transcript_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _items(spark, sf_dir).withColumn("sample_id", F.when(F.col("sample_id") == 1, -1).otherwise(F.col("sample_id")))
     n = table(spark, sf_dir, "supplier").count()
-    found = T.per_sample(T.merge(rows, ["chrm"]).where(F.size("chain") > 0), n)
-    return _flat(found.select("chrm", "chain", "sample_id", "count2"), "chain")
+    return _flat(T.per_sample(T.merge(rows, ["chrm"]), n).select("chrm", "chain", "start", "sample_id", "count2"), "chain")
 
 
 def unique_junction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +171,7 @@ def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reads(spark, sf_dir).groupBy("qname").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     path = F.transform(F.concat(F.array(F.lit(0)), "lines", F.array(F.lit(100))), lambda x: x.cast("long"))
-    return rows.select(F.floor(F.col("qname") / 100).alias("graph"), path.alias("path")).groupBy("graph", "path").agg(F.count("*").alias("n")).where("n >= 2")
+    return rows.select(F.floor(F.col("qname") / 100).alias("graph"), path.alias("path")).groupBy("graph", "path").agg(F.count("*").alias("n")).where(F.col("n") >= P.min_phase_count)
 
 
 def vertex_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +229,14 @@ _MATES = f"""{READS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY qname,
 m AS (SELECT a.qname, a.chrm, a.pos, a.rpos, b.pos AS r_pos, b.rpos AS r_rpos, greatest(a.rpos, b.rpos) - least(a.pos, b.pos) AS length FROM k a JOIN k b USING (qname, chrm, k) WHERE a.strand = '+' AND b.strand = '-')"""
 _ITEMS = f"""{READS_SQL}, o AS (SELECT sample_id, chrm, qname, list_sort(list_distinct(list(line))) AS lines, min(pos) AS s, max(rpos) AS e, sum(quantity) AS q FROM reads GROUP BY 1, 2, 3),
 items AS (SELECT sample_id, chrm, CASE WHEN len(lines) > 1 THEN array_to_string(lines, '-') ELSE '' END AS chain, s, e, ln(1 + q) AS cov, q AS abd FROM o)"""
+_RUNS = """b AS (SELECT *, CASE WHEN chain = '' THEN floor((s + e) / 10000) END AS bucket FROM items),
+d AS (SELECT DISTINCT chrm, bucket, s, e FROM b WHERE chain = ''), m AS MATERIALIZED (SELECT *, max(e) OVER (PARTITION BY chrm, bucket ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrm, bucket ORDER BY s, e) AS k FROM m WHERE reach IS NULL OR NOT (least(reach, e) - s >= 0.8 * (e - s))),
+w(chrm, bucket, k, s, e, first, fresh) AS (SELECT chrm, bucket, k, s, e, s, 1 FROM l WHERE k = 1
+  UNION ALL SELECT l.chrm, l.bucket, l.k, l.s, l.e, CASE WHEN l.reach - l.s >= 0.8 * (l.reach - w.first) THEN w.first ELSE l.s END, CASE WHEN l.reach - l.s >= 0.8 * (l.reach - w.first) THEN 0 ELSE 1 END
+  FROM w JOIN l ON l.chrm = w.chrm AND l.bucket = w.bucket AND l.k = w.k + 1),
+r AS (SELECT d.*, sum(coalesce(fresh, 0)) OVER (PARTITION BY d.chrm, d.bucket ORDER BY d.s, d.e) AS run FROM d LEFT JOIN w USING (chrm, bucket, s, e)),
+pl AS (SELECT b.*, run FROM b LEFT JOIN r ON b.chain = '' AND r.chrm = b.chrm AND r.bucket = b.bucket AND r.s = b.s AND r.e = b.e)"""
 _GRAPHS = f"""{READS_SQL}, o AS (SELECT qname, list_concat([0], list_sort(list_distinct(list(line))), [100]) AS p, sum(quantity) AS w FROM reads GROUP BY 1),
 x AS (SELECT floor(qname / 100)::BIGINT AS graph, unnest(list_transform(range(1, len(p)), lambda i: {{'l': p[i], 'r': p[i + 1]}})) AS e, w FROM o),
 edges AS (SELECT graph, e.l::BIGINT AS s, e.r::BIGINT AS t, sum(w) AS w FROM x GROUP BY ALL)"""
@@ -267,10 +274,12 @@ SELECT *, CASE WHEN n < 100 THEN 'UNSTRANDED' WHEN n_first > 0.8 * n THEN 'FR_FI
 SELECT sample_id, evidence, CASE WHEN evidence < 600 THEN bl ELSE low END AS low, CASE WHEN evidence < 600 THEN bh ELSE high END AS high FROM p, b""",
     "phase_counts": f"""WITH {EVENTS_SQL}, p AS (SELECT user_id, floor("at" / {DAY}) AS d, string_agg(event_type, '>' ORDER BY "at", event_id) AS path FROM ev GROUP BY 1, 2) SELECT path, count(*) AS c FROM p GROUP BY 1""",
     "route_counts": f"""WITH {EVENTS_SQL}, r AS (SELECT event_type AS f, lead(event_type) OVER (PARTITION BY user_id ORDER BY "at", event_id) AS t FROM ev) SELECT f AS from_type, t AS to_type, count(*) AS c FROM r WHERE t IS NOT NULL GROUP BY 1, 2""",
-    "transcript_merge": f"""WITH {_ITEMS} SELECT chrm, chain, min(s) AS "start", max(e) AS "end", max(abd) AS abd, count(DISTINCT sample_id) AS count2, round(CASE WHEN chain = '' THEN max(cov) ELSE sum(cov) END, 6) AS cov
-FROM items GROUP BY chrm, chain, CASE WHEN chain = '' THEN floor((s + e) / 10000) END""",
-    "sample_explode": f"""WITH {_ITEMS}, n AS (SELECT count(*) AS n FROM supplier), m AS (SELECT DISTINCT chrm, chain, CASE WHEN sample_id = 1 THEN n ELSE sample_id END AS sample_id FROM items, n WHERE chain <> ''),
-c AS (SELECT chrm, chain, count(DISTINCT sample_id) AS count2 FROM items WHERE chain <> '' GROUP BY 1, 2) SELECT m.chrm, m.chain, m.sample_id, c.count2 FROM m JOIN c USING (chrm, chain)""",
+    "transcript_merge": f"""WITH RECURSIVE {_ITEMS}, {_RUNS}
+SELECT chrm, chain, min(s) AS "start", max(e) AS "end", max(abd) AS abd, count(DISTINCT sample_id) AS count2, round(CASE WHEN chain = '' THEN max(cov) ELSE sum(cov) END, 6) AS cov FROM pl GROUP BY chrm, chain, bucket, run""",
+    "sample_explode": f"""WITH RECURSIVE {_ITEMS}, {_RUNS}, n AS (SELECT count(*) AS n FROM supplier),
+g AS (SELECT chrm, chain, bucket, run, min(s) AS "start", count(DISTINCT sample_id) AS count2 FROM pl GROUP BY 1, 2, 3, 4),
+own AS (SELECT DISTINCT chrm, chain, bucket, run, CASE WHEN sample_id = 1 THEN n ELSE sample_id END AS sample_id FROM pl, n)
+SELECT own.chrm, own.chain, "start", own.sample_id, count2 FROM own JOIN g ON own.chrm = g.chrm AND own.chain = g.chain AND own.bucket IS NOT DISTINCT FROM g.bucket AND own.run IS NOT DISTINCT FROM g.run""",
     "unique_junction": f"""WITH {CHAINS_SQL}, {_PAIRS}, d AS (SELECT DISTINCT floor(bundle / 100)::BIGINT AS graph, bundle AS path, j.l AS l, j.r AS r FROM j), u AS (SELECT *, count(*) OVER (PARTITION BY graph, l, r) AS n FROM d)
 SELECT graph, path, count(*) FILTER (n = 1) AS n_unique FROM u GROUP BY 1, 2""",
     "feature_minmax": f"""WITH {READS_SQL} SELECT qname, count(*) AS n_edges, min(quantity) AS min_quantity, max(quantity) AS max_quantity, min(price) AS min_price, max(price) AS max_price,

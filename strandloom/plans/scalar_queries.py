@@ -116,8 +116,8 @@ def binomial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of one graph whose spliced chains differ by at most 250 positions an intron, as components."""
-    rows = spliced(spark, sf_dir).where(F.size("chain") == 2).select("graph", F.col("qname").alias("id"), "chain")
+    """Orders of one graph whose spliced chains differ by at most 60 positions an intron, as components; unspliced ones stay alone."""
+    rows = spliced(spark, sf_dir).select("graph", F.col("qname").alias("id"), "chain")
     return T.near_clusters(rows, ["graph"], "chain", 60)
 
 
@@ -166,8 +166,8 @@ SELECT chrm, strand, round(regr_slope(depth, (s + e) / 2), 8) AS slope, round(re
 SELECT chain, count(DISTINCT sample_id) AS "count", count(DISTINCT sample_id) + 1 AS more FROM o GROUP BY 1 HAVING count(DISTINCT sample_id) >= 3""",
     "binomial_score": f"""WITH {READS_SQL}, s AS (SELECT part, count(*)::INTEGER AS n, (count(*) FILTER (strand = '+'))::INTEGER AS x FROM reads GROUP BY 1)
 SELECT *, floor(-100 * log10(list_sum(list_transform(range(x, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5::DOUBLE))))) + 1e-9)::BIGINT AS score FROM s""",
-    "near_clusters": f"""WITH RECURSIVE {SPLICED_SQL}, c AS (SELECT graph, qname AS id, chain FROM sp WHERE len(chain) = 2),
-e AS (SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON a.graph = b.graph AND a.id <> b.id AND abs(a.chain[1] - b.chain[1]) + abs(a.chain[2] - b.chain[2]) <= 60),
+    "near_clusters": f"""WITH RECURSIVE {SPLICED_SQL}, c AS (SELECT graph, qname AS id, chain, len(chain) AS n FROM sp),
+e AS (SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON a.graph = b.graph AND a.n = b.n AND a.n > 0 AND a.id <> b.id AND abs(a.chain[1] - b.chain[1]) <= 60 AND len(list_filter(range(1, a.n, 2), lambda i: abs(a.chain[i] - b.chain[i]) + abs(a.chain[i + 1] - b.chain[i + 1]) > 60)) = 0),
 r(id, node) AS (SELECT id, id FROM c UNION SELECT r.id, e.v FROM r JOIN e ON r.node = e.u)
 SELECT c.graph, c.id, min(r.node) AS cluster FROM c JOIN r ON c.id = r.id GROUP BY 1, 2""",
     "jaccard_splices": f"""WITH {CHAINS_SQL}, z AS (SELECT x.bundle, x.chain AS a, y.chain AS b, len(list_intersect(x.chain, y.chain)) AS c FROM chains x JOIN chains y ON y.bundle = x.bundle + 1)

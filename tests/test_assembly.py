@@ -1,12 +1,14 @@
 """From reads of several samples to transcripts, on hand-made reads."""
 
 import itertools
+import math
 
 from pyspark.sql import functions as F
 
 from strandloom.config import Parameters
 from strandloom.operators import assembly as A
 from strandloom.operators import chains as C
+from strandloom.operators import evidence as E
 from strandloom.operators import graphs as G
 from strandloom.scratch import stored
 from strandloom.sources import files
@@ -49,6 +51,43 @@ def test_two_samples_are_one_group_and_give_both_isoforms(spark, tmp_path):
     assert own == {-1: 4 + 3, 0: 4 + 3, 1: 4 + 2, 2: 4}
 
 
+def test_samples_say_which_isoforms_go_together(spark):
+    a1, a2, c, b1, b2 = (100, 200), (250, 350), (500, 700), (900, 1000), (1100, 1200)
+    # no read holds both junctions, and weights alone would pair the ends the other way round
+    plan = [(0, "1", [a1, c], 10), (0, "1", [c, b1], 6), (1, "1", [a2, c], 6), (1, "1", [c, b2], 10)]
+    found = A.assemble(reads(spark, plan), ["chrm", "strand"], width=256).collect()
+    chains = {tuple(r.chain): list(r.samples) for r in found if r.sample_id == -1}
+    own, other = (200, 500, 700, 900), (350, 500, 700, 1100)
+    assert chains[own] == [0] and chains[other] == [1]
+    heavy = [r for r in found if r.sample_id == -1 and tuple(r.chain) in ((200, 500, 700, 1100), (350, 500, 700, 900))]
+    assert all(r.cov < min(x.cov for x in found if x.sample_id == -1 and tuple(x.chain) in (own, other)) and r.n_samples == 0 for r in heavy)
+
+
+def test_merged_edges_keep_common_samples_and_least_amounts(spark):
+    schema = "graph int, s long, t long, sample int, a long"
+    evidence = spark.createDataFrame([(1, 0, 1, 0, 5), (1, 0, 1, 1, 2), (1, 1, 2, 0, 3), (1, 1, 2, 2, 9), (1, 2, 3, 0, 4), (1, 0, 4, 1, 7)], schema)
+    pairs = E.crossings(evidence)
+    got = {(r.s, r.v, r.t): (r.n_samples, list(r.samples), r.abundance, round(r.score, 6)) for r in E.merged_support(pairs, evidence).collect()}
+    assert got == {(0, 1, 2): (1, [0], 3.0, round(0.99 * 3 + 0.01 * 5, 6)), (1, 2, 3): (1, [0], 3.0, round(0.99 * 3 + 0.01 * 4, 6))}
+    first = E.combined(evidence.where("s = 0").withColumnRenamed("t", "v"), evidence.where("s = 1").withColumnRenamed("s", "v"))
+    whole = E.combined(first.drop("v").withColumnRenamed("t", "v"), evidence.where("s = 2").withColumnRenamed("s", "v"))
+    assert [tuple(r) for r in whole.select("s", "t", "sample", "a").collect()] == [(0, 3, 0, 3)]
+    lone = E.merged_support(pairs, evidence.where("sample = 7"))
+    assert {(r.n_samples, r.abundance, len(r.samples)) for r in lone.collect()} == {(0, 0.0, 0)}
+
+
+def test_isolated_edges_take_the_partner_of_the_highest_score(spark):
+    edges = spark.createDataFrame([(1, s, t) for s, t in ((0, 2), (1, 2), (2, 3), (2, 4), (2, 5))], "graph int, s long, t long")
+    evidence = spark.createDataFrame([(1, 0, 2, 0, 5), (1, 1, 2, 1, 5), (1, 2, 3, 0, 4), (1, 2, 4, 1, 4), (1, 2, 4, 0, 1), (1, 2, 5, 9, 9)], "graph int, s long, t long, sample int, a long")
+    none = spark.createDataFrame([], "graph int, path array<bigint>, n long")
+    got = {(r.side, r.s, r.t): round(r.confidence, 6) for r in E.isolated_match(edges, none, evidence).collect()}
+    score = lambda x, y: 0.99 * min(x, y) + 0.01 * max(x, y)
+    assert got == {("in", 0, 3): round(math.log(score(5, 4) / (score(5, 4) + score(5, 1))), 6), ("in", 1, 4): 0.0, ("out", 0, 3): 0.0, ("out", 1, 4): round(math.log(score(5, 4) / (score(5, 4) + score(5, 1))), 6)}
+    phased = spark.createDataFrame([(1, [0, 2, 3], 3)], "graph int, path array<bigint>, n long")
+    assert {(r.side, r.s, r.t) for r in E.isolated_match(edges, phased, evidence).collect()} == {("in", 1, 4), ("out", 1, 4)}
+    assert {tuple(r.path): round(r.n, 6) for r in E.steered(edges, phased, evidence).collect()} == {(0, 2, 3): 3.0, (1, 2, 4): round(score(5, 4), 6)}
+
+
 def test_mates_are_bridged_over_the_group(spark):
     df = reads(spark, [(0, "1", LONG, 4), (1, "1", [(150, 400), (600, 700)], 2), (1, "1", [(800, 900), (1200, 1350)], 2)])
     df = df.withColumn("mate", F.when(F.col("qname").isin(4, 5), F.col("qname") + 2))
