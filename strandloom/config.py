@@ -43,6 +43,8 @@ class Parameters:
     min_transcript_length_increase: int = 20
     min_exon_length: int = 8
     boundary_ratio: float = 2.0
+    max_boundary_distance: int = 10_000
+    group_boundaries: bool = False
     adjacent_weight: float = 0.5
 
 

@@ -129,12 +129,32 @@ def edges(exons: DataFrame, links: DataFrame, keys: list[str], p: Parameters = P
     return firm.unionByName(pairs.select(*keys, F.col("vid").alias("s"), (F.col("vid") + 1).alias("t"), floor(weight).alias("w"), F.lit("adjacent").alias("kind"), F.lit(".").alias("strand")))
 
 
+def read_shapes(reads: DataFrame, keys: list[str], sample: str | None = None) -> DataFrame:
+    """(keys, shape, pos, rpos, chain, n): the distinct reads, numbered, and how many there are of each; stored.
+
+    With `sample` also n_samples. What follows costs a row a shape, however deep a locus is.
+    """
+    more = [F.count_distinct(sample).alias("n_samples")] if sample else []
+    return stored(reads.groupBy(*keys, "pos", "rpos", "chain").agg(F.count("*").alias("n"), *more).withColumn("shape", F.monotonically_increasing_id()), "shapes")
+
+
 def read_paths(reads: DataFrame, vertices: DataFrame, keys: list[str], read: str, width: int = BIN) -> DataFrame:
-    """(keys, read, path): reads (pos, rpos, chain) as vertex lists; those that do not lie on the graph are left out.
+    """(keys, read, path): each read (pos, rpos, chain) with the path of its shape; those that do not lie on the graph are left out.
+
+    Reads are told by what they are, not by `read`: mates and secondary alignments may share a name, and each has its row.
+    """
+    shapes = read_shapes(reads, keys)
+    paths = shape_paths(shapes, vertices, keys, width).join(shapes, [*keys, "shape"]).select(*keys, "pos", "rpos", "chain", "path")
+    return reads.select(*keys, read, "pos", "rpos", "chain").join(paths, [*keys, "pos", "rpos", "chain"]).select(*keys, read, "path")
+
+
+def shape_paths(shapes: DataFrame, vertices: DataFrame, keys: list[str], width: int = BIN, read: str = "shape") -> DataFrame:
+    """(keys, shape, path): shapes as vertex lists.
 
     The ends are looked up by position; an intron's ends must be the end and the begin of exons; between two introns the
     exons must abut.
     """
+    reads = shapes
     inner = vertices.where("run >= 0")
     near = inner.select(*keys, "v", "lpos", "rpos")
     own = [*keys, read]
@@ -256,10 +276,18 @@ def adjacent_edges(vertices: DataFrame, edges: DataFrame, keys: list[str], weigh
     return pairs.join(edges.select(*keys, "s", "t").distinct(), [*keys, "s", "t"], "left_anti").select(*keys, "s", "t", F.lit(weight).alias("w"), "l", "r")
 
 
-def without_introns(chain: Column, gaps: Column) -> Column:
-    """`chain` without the introns that are among `gaps` (array<struct<l, r>>)."""
-    kept = F.filter(introns(chain), lambda x: ~F.exists(gaps, lambda g: (g["l"] == x["l"]) & (g["r"] == x["r"])))
-    return F.flatten(F.transform(kept, lambda x: F.array(x["l"], x["r"])))
+def light_gaps(light: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, l, r): the distinct gaps that light edges span; in a chain they are no introns."""
+    return light.where("l < r").select(*keys, "l", "r").distinct()
+
+
+def without_introns(rows: DataFrame, gaps: DataFrame, keys: list[str], name: str, chain: str = "chain") -> DataFrame:
+    """(keys, name, chain): the chains of `rows`, one for each name, without the introns that are among `gaps` (keys, l, r)."""
+    each = rows.select(*keys, name, F.explode(introns(F.col(chain))).alias("j")).select(*keys, name, "j.l", "j.r")
+    left = each.join(gaps, [*keys, "l", "r"], "left_anti").groupBy(*keys, name).agg(F.array_sort(F.collect_list(F.struct("l", "r"))).alias("_js"))
+    found = rows.select(*keys, name, F.col(chain).alias("_all")).join(left, [*keys, name], "left")
+    flat = F.flatten(F.transform("_js", lambda x: F.array(x["l"], x["r"])))
+    return found.select(*keys, name, F.coalesce(flat, F.slice("_all", 1, 0)).alias(chain))
 
 
 def bridged(mates: DataFrame, tables: dict[str, DataFrame], pair: str, p: Parameters = Parameters(), width: int = BIN) -> DataFrame:
@@ -276,10 +304,10 @@ def bridged(mates: DataFrame, tables: dict[str, DataFrame], pair: str, p: Parame
     light = adjacent_edges(tables["vertices"], tables["edges"], keys, p.adjacent_weight)
     every = tables["edges"].where("kind in ('junction', 'adjacent')").select("graph", "s", "t", "w").unionByName(light.select("graph", "s", "t", "w"))
     paths = stored(G.paths_between(every, ends.select("graph", "s", "t"), p.bridge_candidates, p.bridge_stack).withColumn("name", F.struct("s", "t", "rank")), "bridge-paths")
-    gaps = light.where("l < r").groupBy("graph").agg(F.collect_set(F.struct("l", "r")).alias("_gaps"))  # gaps of one graph are no introns
-    over = path_exons(paths, tables["vertices"], keys, "name").join(gaps, keys, "left").select("graph", "name.*", intron_chain(F.col("exons")).alias("_over"), F.coalesce("_gaps", F.array().cast(dict(gaps.dtypes)["_gaps"])).alias("_gaps"))
+    over = path_exons(paths, tables["vertices"], keys, "name").select("graph", "name", intron_chain(F.col("exons")).alias("_over"))
+    over = without_introns(over, light_gaps(light, keys), keys, "name", "_over").select("graph", "name.*", "_over")
     met = ends.join(over, ["graph", "s", "t"]).join(mates, ["graph", pair])
-    own = F.array_distinct(F.concat(introns(F.col("chain")), introns(without_introns(F.col("_over"), F.col("_gaps"))), introns(F.col("r_chain"))))
+    own = F.array_distinct(F.concat(introns(F.col("chain")), introns(F.col("_over")), introns(F.col("r_chain"))))
     whole = F.flatten(F.transform(F.array_sort(own), lambda x: F.array(x["l"], x["r"])))
     tried = met.withColumn("_whole", whole).where(increasing(F.col("_whole")) & ((F.size("_whole") == 0) | ((F.array_min("_whole") > F.col("pos")) & (F.array_max("_whole") < F.col("r_rpos")))))
     tried = tried.select("graph", pair, "rank", F.col("_whole").alias("chain"), (F.col("r_rpos") - F.col("pos") - intron_length(F.col("_whole"))).alias("length"))

@@ -62,9 +62,9 @@ def read_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phase_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads by path, counted, with the exon coordinates of the path."""
     rows, found = _tables(spark, sf_dir)
-    paths = S.read_paths(rows, found["vertices"], KEYS, "qname", WIDTH)
-    named = S.path_exons(paths, found["vertices"], KEYS, "qname")
-    return named.select("graph", F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("exons")).groupBy("graph", "exons").agg(F.count("*").alias("n"))
+    shapes = S.read_shapes(rows, KEYS)
+    named = S.path_exons(S.shape_paths(shapes, found["vertices"], KEYS, WIDTH), found["vertices"], KEYS, "shape").join(shapes.select("graph", "shape", "n"), ["graph", "shape"])
+    return named.select("graph", "n", F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("exons")).groupBy("graph", "exons").agg(F.sum("n").alias("n"))
 
 
 def distant_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,40 +103,41 @@ def pseudo_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gaps that light edges between neighbours span, and whether an intron of a read is one."""
     rows, found = _tables(spark, sf_dir)
     light = S.adjacent_edges(found["vertices"], found["edges"], KEYS)
-    gaps = light.where("l < r").groupBy("graph").agg(F.collect_set(F.struct("l", "r")).alias("gaps"))
-    kept = rows.join(gaps, "graph", "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<l:int,r:int>>")))
-    return kept.select("graph", "qname", F.size("gaps").alias("n_gaps"), (F.size("chain") - F.size(S.without_introns(F.col("chain"), F.col("gaps")))).alias("dropped"))
+    gaps = stored(S.light_gaps(light, KEYS), "gaps")
+    kept = S.without_introns(rows, gaps, KEYS, "qname").select("graph", "qname", F.size("chain").alias("_left"))
+    counts = gaps.groupBy("graph").agg(F.count("*").cast("int").alias("n_gaps"))
+    return rows.join(kept, ["graph", "qname"]).join(counts, "graph", "left").select("graph", "qname", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), (F.size("chain") - F.col("_left")).alias("dropped"))
 
 
 QUERIES = [typed_regions, partial_exons, junction_exon_join, graph_edges, graph_vertices, read_paths, phase_paths, distant_vertices, boundary_scores, bridge_ends, pier_pairs, pseudo_introns]
 
-_REGIONS = f"""{SPLICED_SQL}, rd AS (SELECT *, CASE qname % 3 WHEN 1 THEN '+' WHEN 2 THEN '-' END AS xs FROM sp), bnd AS (SELECT graph, min(pos) AS s, max(rpos) AS e FROM rd GROUP BY 1),
+_REGIONS = f"""{SPLICED_SQL}, rd AS MATERIALIZED (SELECT *, CASE qname % 3 WHEN 1 THEN '+' WHEN 2 THEN '-' END AS xs FROM sp), bnd AS MATERIALIZED (SELECT graph, min(pos) AS s, max(rpos) AS e FROM rd GROUP BY 1),
 jx AS (SELECT graph, xs, unnest(list_transform(range(1, len(chain), 2), lambda i: {{'l': chain[i], 'r': chain[i + 1]}})) AS j FROM rd),
-jn AS (SELECT graph, j.l AS l, j.r AS r, count(*) AS c, CASE WHEN count(*) FILTER (xs = '+') > count(*) FILTER (xs = '-') THEN '+' WHEN count(*) FILTER (xs = '+') < count(*) FILTER (xs = '-') THEN '-' ELSE '.' END AS strand FROM jx GROUP BY 1, 2, 3),
+jn AS MATERIALIZED (SELECT graph, j.l AS l, j.r AS r, count(*) AS c, CASE WHEN count(*) FILTER (xs = '+') > count(*) FILTER (xs = '-') THEN '+' WHEN count(*) FILTER (xs = '+') < count(*) FILTER (xs = '-') THEN '-' ELSE '.' END AS strand FROM jx GROUP BY 1, 2, 3),
 pt AS (SELECT graph, s AS p, 'start' AS t FROM bnd UNION ALL SELECT graph, e, 'end' FROM bnd UNION ALL SELECT graph, l, 'left' FROM jn UNION ALL SELECT graph, r, 'right' FROM jn),
 ty AS (SELECT graph, p, bool_or(t = 'start') AS st, bool_or(t = 'end') AS en, bool_or(t = 'left') AS le, bool_or(t = 'right') AS ri FROM pt GROUP BY 1, 2),
-rg AS (SELECT * FROM (SELECT graph, p AS s, lead(p) OVER k AS e, CASE WHEN st THEN 'start' WHEN en THEN 'end' WHEN ri THEN 'right' ELSE 'left' END AS lt,
+rg AS MATERIALIZED (SELECT * FROM (SELECT graph, p AS s, lead(p) OVER k AS e, CASE WHEN st THEN 'start' WHEN en THEN 'end' WHEN ri THEN 'right' ELSE 'left' END AS lt,
 lead(CASE WHEN st THEN 'start' WHEN en THEN 'end' WHEN le THEN 'left' ELSE 'right' END) OVER k AS rt FROM ty WINDOW k AS (PARTITION BY graph ORDER BY p)) WHERE e IS NOT NULL)"""
 _EXONS = f"""{_REGIONS}, ch AS (SELECT graph, p, sum(w) AS w FROM (SELECT floor(qname / 100)::BIGINT AS graph, s AS p, 1 AS w FROM blk UNION ALL SELECT floor(qname / 100)::BIGINT, e, -1 FROM blk) GROUP BY 1, 2 HAVING sum(w) <> 0),
-dp AS (SELECT * FROM (SELECT graph, p AS s, lead(p) OVER k AS e, sum(w) OVER (PARTITION BY graph ORDER BY p ROWS UNBOUNDED PRECEDING)::BIGINT AS d FROM ch WINDOW k AS (PARTITION BY graph ORDER BY p)) WHERE d <> 0),
+dp AS MATERIALIZED (SELECT * FROM (SELECT graph, p AS s, lead(p) OVER k AS e, sum(w) OVER (PARTITION BY graph ORDER BY p ROWS UNBOUNDED PRECEDING)::BIGINT AS d FROM ch WINDOW k AS (PARTITION BY graph ORDER BY p)) WHERE d <> 0),
 pc AS (SELECT r.*, CASE WHEN lt = 'right' AND rt = 'left' THEN 15 ELSE 0 END AS gap, greatest(r.s, dp.s) AS a, least(r.e, dp.e) AS b, dp.d FROM rg r JOIN dp ON r.graph = dp.graph AND dp.s < r.e AND r.s < dp.e),
 pm AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY graph, s ORDER BY a) > gap THEN 1 ELSE 0 END AS nw2 FROM pc), pi AS (SELECT *, sum(nw2) OVER (PARTITION BY graph, s ORDER BY a ROWS UNBOUNDED PRECEDING) AS i FROM pm),
-i0 AS (SELECT graph, s, e, lt, rt, gap, min(a) AS a, max(b) AS b, sum(b - a)::BIGINT AS cover, sum((b - a) * d)::BIGINT AS area, sum((b - a) * d * d)::BIGINT AS sq, max(d) AS mx FROM pi GROUP BY graph, s, e, lt, rt, gap, i),
-i1 AS (SELECT graph, s, e, lt, rt, CASE WHEN a - s <= gap THEN s ELSE a END AS a, CASE WHEN e - b <= gap THEN e ELSE b END AS b, cover, area, sq, mx FROM i0
+i0 AS MATERIALIZED (SELECT graph, s, e, lt, rt, gap, min(a) AS a, max(b) AS b, sum(b - a)::BIGINT AS cover, sum((b - a) * d)::BIGINT AS area, sum((b - a) * d * d)::BIGINT AS sq, max(d) AS mx FROM pi GROUP BY graph, s, e, lt, rt, gap, i),
+i1 AS MATERIALIZED (SELECT graph, s, e, lt, rt, CASE WHEN a - s <= gap THEN s ELSE a END AS a, CASE WHEN e - b <= gap THEN e ELSE b END AS b, cover, area, sq, mx FROM i0
 UNION ALL SELECT graph, s, e, lt, rt, s, e, 0, 0, 0, 0 FROM rg WHERE lt = 'right' AND rt = 'left' AND e - s <= 15 AND NOT EXISTS (SELECT 1 FROM i0 WHERE i0.graph = rg.graph AND i0.s = rg.s)),
 ex0 AS (SELECT graph, a AS s, b AS e, CASE WHEN a = s THEN lt ELSE 'start' END AS lt, CASE WHEN b = e THEN rt ELSE 'end' END AS rt, area / (b - a) AS ave, sqrt(greatest(0.0, (sq - 2 * area / (b - a) * area + area / (b - a) * area / (b - a) * cover) / (b - a))) AS dev, mx FROM i1
 WHERE (a = s AND b = e) OR (a = s AND lt = 'right') OR (b = e AND rt = 'left') OR (b - a >= 15 AND area / (b - a) >= 1.5)
 UNION ALL SELECT graph, s, s + 1, 'right', 'end', 0.01, 1.0, 0 FROM rg WHERE lt = 'right' AND NOT EXISTS (SELECT 1 FROM i1 WHERE i1.graph = rg.graph AND i1.s = rg.s AND i1.a = rg.s)
 UNION ALL SELECT graph, e - 1, e, 'start', 'left', 0.01, 1.0, 0 FROM rg WHERE rt = 'left' AND NOT EXISTS (SELECT 1 FROM i1 WHERE i1.graph = rg.graph AND i1.e = rg.e AND i1.b = rg.e)),
-ex AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY s, e) AS vid FROM ex0),
-ln AS (SELECT jn.*, a.vid AS lexon, b.vid AS rexon FROM jn JOIN ex a ON jn.graph = a.graph AND jn.l = a.e JOIN ex b ON jn.graph = b.graph AND jn.r = b.s)"""
+ex AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY s, e) AS vid FROM ex0),
+ln AS MATERIALIZED (SELECT jn.*, a.vid AS lexon, b.vid AS rexon FROM jn JOIN ex a ON jn.graph = a.graph AND jn.l = a.e JOIN ex b ON jn.graph = b.graph AND jn.r = b.s)"""
 _EDGES = f"""{_EXONS}, nr AS (SELECT *, CASE WHEN lag(e) OVER k = s THEN lag(ave) OVER k END AS pa, CASE WHEN lead(s) OVER k = e THEN lead(ave) OVER k END AS na, max(vid) OVER (PARTITION BY graph) AS n FROM ex WINDOW k AS (PARTITION BY graph ORDER BY vid)),
 fe AS (SELECT graph, lexon AS s, rexon AS t, c::DOUBLE AS w, 'junction' AS kind, strand FROM ln UNION ALL SELECT graph, 0, vid, greatest(ave - coalesce(pa, 0), 0.01), 'source', '.' FROM nr WHERE lt = 'start'
 UNION ALL SELECT graph, vid, n + 1, greatest(ave - coalesce(na, 0), 0.01), 'sink', '.' FROM nr WHERE rt = 'end'),
 od AS (SELECT graph, s AS vid, count(*) AS o FROM fe GROUP BY 1, 2), id AS (SELECT graph, t - 1 AS vid, count(*) AS i FROM fe GROUP BY 1, 2),
-ed AS (SELECT * FROM fe UNION ALL SELECT graph, vid, vid + 1, greatest(CASE WHEN coalesce(o, 0) < coalesce(i, 0) THEN ave WHEN coalesce(o, 0) > coalesce(i, 0) THEN na ELSE least(ave, na) END, 0.01), 'adjacent', '.'
+ed AS MATERIALIZED (SELECT * FROM fe UNION ALL SELECT graph, vid, vid + 1, greatest(CASE WHEN coalesce(o, 0) < coalesce(i, 0) THEN ave WHEN coalesce(o, 0) > coalesce(i, 0) THEN na ELSE least(ave, na) END, 0.01), 'adjacent', '.'
 FROM nr LEFT JOIN od USING (graph, vid) LEFT JOIN id USING (graph, vid) WHERE na IS NOT NULL)"""
-_VERTICES = f"""{_EDGES}, vr AS (SELECT graph, vid AS v, s AS lpos, e AS rpos, greatest(ave, 0.01) AS w, sum(CASE WHEN pe IS NOT NULL AND pe <> s THEN 1 ELSE 0 END) OVER (PARTITION BY graph ORDER BY vid ROWS UNBOUNDED PRECEDING)::BIGINT AS run
+_VERTICES = f"""{_EDGES}, vr AS MATERIALIZED (SELECT graph, vid AS v, s AS lpos, e AS rpos, greatest(ave, 0.01) AS w, sum(CASE WHEN pe IS NOT NULL AND pe <> s THEN 1 ELSE 0 END) OVER (PARTITION BY graph ORDER BY vid ROWS UNBOUNDED PRECEDING)::BIGINT AS run
 FROM (SELECT *, lag(e) OVER (PARTITION BY graph ORDER BY vid) AS pe FROM ex))"""
 _PATHS = f"""{_VERTICES}, fl AS (SELECT rd.graph, rd.qname, rd.chain, len(rd.chain) // 2 AS n, a.v AS u1, b.v AS u2 FROM rd JOIN vr a ON rd.graph = a.graph AND a.lpos <= rd.pos AND rd.pos < a.rpos JOIN vr b ON rd.graph = b.graph AND b.lpos <= rd.rpos - 1 AND rd.rpos - 1 < b.rpos),
 jk AS (SELECT graph, qname, unnest(range(1, n + 1)) AS k, chain FROM fl), js AS (SELECT jk.graph, jk.qname, jk.k, d.v AS d, d.run AS dr, a.v AS a, a.run AS ar FROM jk JOIN vr d ON jk.graph = d.graph AND d.rpos = chain[2 * k - 1] JOIN vr a ON jk.graph = a.graph AND a.lpos = chain[2 * k]),

@@ -146,3 +146,29 @@ def test_graphs_without_a_path_give_no_row(spark):
     phases = spark.createDataFrame([(1, [0, 1], 1)], "graph long, path array<long>, n long")
     for found in (G.decompose(broken), G.decompose(broken, phases), G.greedy_paths(broken), G.top_paths(broken), G.bottleneck_paths(broken)):
         assert [r.graph for r in found.collect()] == [2]
+
+
+def test_reads_that_share_a_name_have_a_path_each(spark):
+    from strandloom.operators import splice as S
+
+    df = reads(spark, [(0, "1", LONG, 3)]).withColumn("graph", F.lit(1))
+    tables = S.graph_tables(df, ["graph"], C.chain_counts(df, ["graph"]), width=256)
+    mates = reads(spark, [(0, "1", [(150, 400), (600, 700)], 1), (0, "1", [(800, 900), (1200, 1300)], 1), (0, "1", [(150, 400), (600, 700)], 1)]).withColumns({"graph": F.lit(1), "name": F.lit("q")})
+    assert sorted(list(r.path) for r in S.read_paths(mates, tables["vertices"], ["graph"], "name", 256).collect()) == [[1, 2], [1, 2], [2, 3]]
+    shapes = S.read_shapes(mates, ["graph"], "sample_id")
+    seen = S.shape_paths(shapes, tables["vertices"], ["graph"], 256).join(shapes, ["graph", "shape"])
+    assert {tuple(r.path): r.n for r in S.phases(seen, ["graph"], 1, "n").collect()} == {(1, 2): 2, (2, 3): 1}
+    assert {tuple(r.path) for r in S.phases(seen, ["graph"], 2, "n").collect()} == {(1, 2)}
+
+
+def test_pairs_by_name_are_bridged_and_overlaps_count_twice(spark):
+    df = reads(spark, [(0, "1", LONG, 4), (1, "1", [(150, 400), (600, 700)], 1), (1, "1", [(800, 900), (1200, 1350)], 1), (1, "1", [(100, 300)], 2), (1, "1", [(200, 390)], 1)])
+    name = F.when(F.col("qname").isin(4, 5), "pair").when(F.col("qname").isin(6, 7, 8), "three").otherwise(F.col("qname").cast("string"))
+    numbered = stored(A.with_mates(df.withColumn("name", name), ["chrm"], "sample_id", "name"), "numbered")
+    at = {r._read: r.qname for r in numbered.collect()}
+    assert {(r.qname, at[r._mate]) for r in numbered.where("_mate is not null").collect()} == {(4, 5)}
+    found = A.assemble(df.withColumn("name", name), ["chrm", "strand"], name="name", p=Parameters(insertsize_high=900, min_transcript_coverage=0.0), width=256).collect()
+    assert (400, 600, 900, 1200) in {tuple(r.chain) for r in found if r.sample_id == 1} and {r.path_strand for r in found if r.chain} == {"+"}
+    two = reads(spark, [(0, "1", LONG, 2), (0, "1", [(150, 400), (600, 700)], 1), (0, "1", [(650, 900), (1200, 1300)], 1)]).withColumns({"graph": F.lit("g"), "mate": F.when(F.col("qname") == 2, F.lit(3).cast("long"))})
+    one = [r for r in A.bridge_reads(two, "qname", "mate", Parameters(insertsize_high=900), 256).collect() if r.pos == 150]
+    assert [[tuple(x) for x in r.exons] for r in one] == [[(150, 400), (600, 900), (1200, 1300), (650, 700)]]
