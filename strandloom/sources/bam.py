@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import glob
 import itertools
+import json
 import os
 import struct
 import zlib
@@ -255,7 +256,7 @@ def _arrow_schema() -> pa.Schema:
 
 
 class Alignments(DataSource):
-    """Options: `path` (a file, a folder or a pattern) and `split` (bytes of a partition)."""
+    """Options: `path` (a file, a folder or a pattern) or `paths` (a JSON list of files), and `split` (bytes of a partition)."""
 
     @classmethod
     def name(cls) -> str:
@@ -265,6 +266,8 @@ class Alignments(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
+        if "paths" in self.options:
+            return _Reader(json.loads(self.options["paths"]), int(self.options.get("split", SPLIT)))
         path = self.options["path"]
         path = os.path.join(path, "*.bam") if os.path.isdir(path) else path
         return _Reader(sorted(glob.glob(path)), int(self.options.get("split", SPLIT)))
