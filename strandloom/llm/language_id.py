@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import tidied
+
 UNKNOWN = "und"
 PROFILE = 400
 LONGEST = 3
@@ -95,6 +97,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles of every language of `labelled`: counted over all its rows, `size` grams a language."""
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, list]] = {}
         waiting = 0
@@ -159,6 +162,7 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], text: str =
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
     schema = documents.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
+    @tidied
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [nearest(x) for x in batch.column(kept.index(text)).to_pylist()]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import identified, mixed, shingle_sets, slices, small_side, stored, utf8
+from strandloom.llm.common import identified, mixed, shingle_sets, slices, small_side, stored, tidied, utf8
 from strandloom.llm.components import connected
 
 FULL = 1 << 63
@@ -95,6 +95,7 @@ def _digest(tokens: np.ndarray, seed: int) -> int:
 def set_rows(documents: DataFrame, size: int, limit: Threshold) -> DataFrame:
     """(doc_id, n, low, a, b): the set's size, how many of its hashes are low, and two digests of it."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, low, a, b = ([0] * batch.num_rows for _ in range(4))
@@ -112,6 +113,7 @@ def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: in
     Each bucket of hashes sends its counts on packed, one row for each of `parts` of the classes, where they are added.
     """
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         digests: dict[int, None] = {}
@@ -148,6 +150,7 @@ def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: in
                         waiting = 0
         yield from flush()
 
+    @tidied
     def count(group: pa.Table) -> pa.Table:
         tokens, sets = [], []
         for row in group.select(["sets", "tokens", "owners"]).to_pylist():
@@ -176,6 +179,7 @@ def shared_counts(documents: DataFrame, size: int, limit: Threshold, buckets: in
         packed = [pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (names, n)]
         return pa.table({"part": pa.array(every, pa.int32()), "names": packed[0], "counts": packed[1]})
 
+    @tidied
     def add(group: pa.Table) -> pa.Table:
         names = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["names"]])
         n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in group["counts"]])
@@ -192,6 +196,7 @@ def blocks(documents: DataFrame, suspects: DataFrame, few: int, size: int, limit
     Each doc_id of `documents` is there once: a repeated row would fill the prefix with repeats of one shingle.
     """
 
+    @tidied
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, tokens in _sets(batch, size):
@@ -302,6 +307,7 @@ def chunk_links(rows: DataFrame, size: int, limit: Threshold, tasks: int) -> Dat
     a link are named by their labels, or by their doc_id where they have none.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, labels, sets, lists = None, [], [], [], None
         found: list[tuple[int, int]] = []
