@@ -247,3 +247,45 @@ def test_two_spliced_reads_become_a_graph(spark):
     assert sorted((r.s, r.t, round(r.w, 3), r.kind, r.strand) for r in found["edges"].collect()) == [(0, 1, 2.65, "source", "."), (1, 2, 2.0, "junction", "+"), (2, 3, 2.0, "sink", ".")]
     paths = {r.qname: r.path for r in splice.read_paths(df, found["vertices"], ["graph"], "qname", 16).collect()}
     assert paths == {"a": [1, 2], "b": [1, 2], "c": [1]}
+
+
+def test_levels_and_orders_of_graphs_with_any_numbers(spark):
+    edges = [(1, 9, 3, 5.0), (1, 3, 7, 2.0), (1, 9, 7, 4.0), (1, 7, 1, 6.0), (2, 5, 4, 1.0), (3, 1, 2, 1.0), (3, 2, 3, 1.0), (3, 3, 2, 1.0), (3, 3, 4, 1.0)]
+    df = spark.createDataFrame(edges, "graph int, s long, t long, w double")
+    got = {(r.graph, r.v): r.level for r in G.levels(df).collect()}
+    assert got == {(1, 9): 0, (1, 3): 1, (1, 7): 2, (1, 1): 3, (2, 5): 0, (2, 4): 1, (3, 1): 0, (3, 2): None, (3, 3): None, (3, 4): None}
+    ordered, names = G.in_order(df)
+    old = {(r.graph, r.v): r.old for r in names.collect()}
+    assert {(r.graph, old[r.graph, r.s], old[r.graph, r.t], r.w) for r in ordered.collect()} == set(edges[:5])
+    best = [r for r in G.top_paths(ordered).where("graph = 1").orderBy("rank").collect()]
+    assert [[old[1, v] for v in r.path] for r in best] == [[9, 7, 1], [9, 3, 7, 1]]
+    assert G.levels(df.limit(0)).collect() == []
+
+
+def test_laws_find_what_is_wrong_with_paths(spark):
+    edges = spark.createDataFrame([(1, 0, 1, 5.0), (1, 1, 2, 5.0), (1, 0, 2, 1.0), (2, 0, 1, 1.0)], "graph int, s long, t long, w double")
+    paths = spark.createDataFrame([(1, 0, [0, 1, 2], 4.0), (1, 1, [0, 1, 2], 2.0), (1, 2, [0, 3, 2], 1.0), (1, 3, [0, 1], 1.0)], "graph int, path_id int, path array<bigint>, weight double")
+    got = {r.graph: tuple(r)[1:] for r in G.broken_laws(paths, edges, True).collect()}
+    assert got == {1: (2, 1, 1, 2), 2: (0, 0, 0, 0)}
+    assert {tuple(r)[1:] for r in G.broken_laws(G.decompose(edges), edges, True).collect()} == {(0, 0, 0, 0)}
+
+
+def test_graphs_are_taken_apart_alike_however_they_are_dealt(spark):
+    import random
+
+    rng = random.Random(6)
+    edges, phases = [], []
+    for g in range(40):
+        for s in range(6):
+            for t in range(s + 1, 7):
+                if t == s + 1 or rng.random() < 0.4:
+                    edges.append((f"g{g}", s, t, float(rng.randrange(1, 50))))
+        phases += [(f"g{g}", [0, 1, 2], 3), (f"g{g}", [1, 2, 3, 4], 2)]
+    e = spark.createDataFrame(edges, "graph string, s long, t long, w double")
+    ph = spark.createDataFrame(phases, "graph string, path array<bigint>, n long")
+    got = sorted((r.graph, r.path_id, tuple(r.path), round(r.weight, 6)) for r in G.decompose(e, ph).collect())
+    want = []
+    for g in {x[0] for x in edges}:
+        own = sorted(x[1:] for x in edges if x[0] == g)
+        want += [(g, k, p, round(w, 6)) for k, (p, w) in enumerate(G.Decomposition(own, {tuple(p): float(n) for h, p, n in phases if h == g}, 0.3).run())]
+    assert got == sorted(want) and G.decompose(e.limit(0), ph).collect() == []
