@@ -156,3 +156,15 @@ def test_light_texts_of_many_copies_stay_in_one_shard(spark):
     assert got.count() == 61 * n and got.select("shard").distinct().count() == 2
     assert got.groupBy(F.floor(F.col("doc_id") / n)).agg(F.count_distinct("shard").alias("s")).where("s > 1").count() == 0
     assert got.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("whole")).where("not whole").count() == 0
+
+
+def test_shards_of_awkward_rows_are_whole_gapless_and_even(spark):
+    rows = [(i, t) for i, t, *_ in cases.rows() if i is not None] + [(1000 + k, f"text {k} " * (k % 9)) for k in range(200)]
+    found = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    size = lambda t: 16 + len((t or "").encode())
+    assert sorted((r.doc_id, str(r.text_crc32), r.size) for r in found) == sorted((i, str(None if t is None else zlib.crc32(t.encode())), size(t)) for i, t in rows)
+    total, largest = sum(size(t) for _, t in rows), max(size(t) for _, t in rows)
+    for k in range(8):
+        own = [r for r in found if r.shard == k]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - total / 8) <= 2 * largest + total / 8 / 20

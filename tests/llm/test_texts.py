@@ -197,3 +197,63 @@ def test_base_secrets_equal_the_plain_patterns(spark):
     assert "random:4:36" in rows[11].spans and not rows[12].spans and "random" not in rows[13].spans
     assert secret_scan.scan(cases.frame(spark, extra=True)).count() == len(cases.rows())
     assert secret_scan.scan(cases.empty(spark)).collect() == []
+
+
+def test_secret_results_whole_and_long_strings(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9_001))
+    made = []
+    for _ in range(60):
+        parts = [rng.choice(["token=" + "x1" * 7, "secret: 'abc'", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "plain words", "pass word", "apikey=ABCDEFGHIJKLMNOP", "deadbeefdeadbee", "API_KEY := Zz9"]) for _ in range(rng.randrange(0, 6))]
+        made.append(" ".join(parts))
+    texts = [*made, None, f"start {long} end", "x" * 20_000, long]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        want = base_spans(t or "")
+        joined = ",".join(f"{('assign', 'access', 'hex')[j]}:{a}:{b}" for a, j, b in want)
+        assert got[k].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(sum(x[1] == j for x in want) for j in range(3))
+        assert set(joined.split(",")) - {""} <= set(got[k].spans.split(","))
+    n = len(made)
+    assert got[n + 1].spans == "random:6:9007" and got[n + 3].spans == "random:0:9001" and got[n + 2].spans == ""
+
+
+def test_licences_under_long_copyright_lines_and_titles(spark):
+    mit, holders = license_scan.KNOWN["MIT"], ", ".join(f"Holder Number {k} and Sons" for k in range(40))
+    forms = [f"Copyright (c) 2020 {holders}\n\n{mit}", f"Copyright {holders} 2020\n{mit}", f"MIT License\n\nCopyright {holders}, 1999-2020\n\n{mit}", f"MIT License {mit}", f"The MIT License, under which the following parts of this product by {holders} are published\n\n{mit}"]
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    assert {r.doc_id: r.license for r in license_scan.scan(docs).collect()} == dict.fromkeys(range(len(forms)), "MIT")
+
+
+def test_quality_vectors_are_counts_of_grams_and_repeats():
+    from strandloom.llm.common import mixed, span_hashes, utf8
+    import pyarrow as pa
+
+    texts = ["the cat the cat the", "", "one", "a, b: a!! é_x", "x x x y"]
+    data, offsets = utf8(pa.array(texts))
+    for text, (places, values) in zip(texts, quality.vectors(data, offsets), strict=True):
+        words = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^\s0-9A-Za-z\u0080-\U0010ffff]+", text)
+        raw = [w.encode() for w in words]
+        one = [span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in raw]
+        want = {}
+        for h in one:
+            want[int(h >> np.uint64(46))] = want.get(int(h >> np.uint64(46)), 0) + 1
+        for a, b in zip(one, one[1:], strict=False):
+            with np.errstate(over="ignore"):
+                at = int((mixed(np.array([a * np.uint64(0xD6E8FEB86659FD93) + b]))[0]) >> np.uint64(46))
+            want[at] = want.get(at, 0) + 1
+        again = sum(words[k] == words[k - 1] for k in range(1, len(words))) + sum(words[k] == words[k - 2] for k in range(2, len(words)))
+        if again:
+            want[1 << quality.BITS] = again
+        assert places.tolist() == sorted(want)
+        norm = np.sqrt(sum(np.log1p(n) ** 2 for n in want.values()))
+        assert np.allclose(values, [np.log1p(want[p]) / norm for p in sorted(want)])
+
+
+def test_rows_without_doc_id_are_held_out(spark):
+    from strandloom.llm.common import held_out
+
+    rows = spark.createDataFrame([(None,), (1,), (5,)], "doc_id long").select(held_out(F.col("doc_id")).alias("out")).collect()
+    assert rows[0].out is True and None not in {r.out for r in rows}
