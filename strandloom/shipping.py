@@ -17,7 +17,7 @@ BATCH, DEFAULT, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20,
 
 def ship(spark: SparkSession) -> None:
     """Give the session's executors this package, once for each application, and bound its Arrow batches."""
-    if spark.conf.get(BATCH, "").rstrip("b") == str(DEFAULT):
+    if spark.conf.get(BATCH, "1b").rstrip("b") == str(DEFAULT):
         spark.conf.set(BATCH, str(BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
