@@ -12,12 +12,12 @@ _shipped: set[str] = set()
 
 
 # Rows are long texts at times: batches for Python are bounded by bytes, far below Spark's default, unless the session sets its own bound.
-BATCH, DEFAULT, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+BATCH, UNSET, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "1b", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Give the session's executors this package, once for each application, and bound its Arrow batches."""
-    if spark.conf.get(BATCH, "1b").rstrip("b") == str(DEFAULT):
+    if spark.conf.get(BATCH, UNSET) == UNSET:
         spark.conf.set(BATCH, str(BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
