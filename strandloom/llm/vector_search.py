@@ -140,7 +140,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
     n_every, n_query = vectors.agg(F.count("*"), F.count_if("asked")).first()
     nq, nc = max(1, -(-n_query // query_block)), max(1, -(-n_every // block))
     cells = stored(cell_blocks(first_of_equals(vectors, k + 1), nc), "approximations")
-    # a pair of blocks is a key of its own, so pairs spread over all tasks
+    # a pair of blocks is a key of its own, so pairs spread over all tasks; a block's repeats count as nothing in Spark's estimates, so sizes don't choose the join
     left = cells.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     right = query_blocks(vectors.where("asked"), nq).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
     names = ["dim", "qids", "queries", "ids", "low", "width", "cells"]
@@ -157,7 +157,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
                     "ids": pa.array([x[2] for x in found], pa.list_(pa.int64())), "most": pa.array([x[3] for x in found], pa.list_(pa.float64())),
                 })
 
-    met = stored(left.join(right, ["qb", "cb", "dim"]).select(*names).mapInArrow(scan, "query_id long, lows array<double>, ids array<long>, most array<double>"), "bounds")
+    met = stored(left.join(right.hint("merge"), ["qb", "cb", "dim"]).select(*names).mapInArrow(scan, "query_id long, lows array<double>, ids array<long>, most array<double>"), "bounds")
     by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
     floors = met.select("query_id", F.explode("lows").alias("low")).withColumn("_r", F.row_number().over(by_low)).where(F.col("_r") <= k)
     floors = floors.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("floor"))

@@ -168,3 +168,16 @@ def test_shards_of_awkward_rows_are_whole_gapless_and_even(spark):
         own = [r for r in found if r.shard == k]
         assert sorted(r.slot for r in own) == list(range(len(own)))
         assert abs(sum(r.size for r in own) - total / 8) <= 2 * largest + total / 8 / 20
+
+
+def test_pairs_of_blocks_are_never_broadcast(spark, monkeypatch):
+    plans, real = {}, V.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(V, "stored", seen)
+    df = spark.createDataFrame([(i, [i / 50, 1 - i / 50]) for i in range(60)], "vec_id long, embedding array<double>")
+    assert V.top_k(df, F.col("vec_id") % 10 == 0, 5, block=16, query_block=4).count() == 30
+    assert "BroadcastHashJoin" not in plans["bounds"]
