@@ -12,3 +12,11 @@ def test_small_files_of_many_rows_are_not_broadcast(spark):
     many = stored(spark.range(600_000).select(F.floor(F.col("id") / 9).alias("graph"), F.col("id").alias("v"), side.alias("ltype")), "many")
     plan = many.join(many.select("graph", F.col("v").alias("w")), "graph")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_sets_are_compared_with_few_shuffles(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["overlap_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) <= 8
