@@ -59,10 +59,10 @@ def vectors(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[tup
 
 
 class Learner:
-    """Follow the regularised leader, per coordinate; the last two places are the repeats and the bias."""
+    """Follow the regularised leader, per coordinate, over 2^bits places and `more` of their own; the last place is the bias."""
 
-    def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.z, self.n = np.zeros((1 << bits) + 2), np.zeros((1 << bits) + 2)
+    def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, more: int = 0):
+        self.z, self.n = np.zeros((1 << bits) + more + 1), np.zeros((1 << bits) + more + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -104,7 +104,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
                 own = vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
                 seen += zip(keys[i:j], own, labels[i:j], strict=True)
         seen.sort(key=lambda x: (x[0], x[2], len(x[1][0])))
-        learner = Learner(bits)
+        learner = Learner(bits, more=1)  # the repeats
         for _ in range(passes):
             for _, (places, values), y in seen:
                 learner.learn(places, values, y)
