@@ -20,3 +20,24 @@ def test_sets_are_compared_with_few_shuffles(spark):
     plan = entry.queries()["overlap_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(moved) <= 8
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def shuffles(df):
+    return sum("Exchange hashpartitioning" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_spliced_reads_take_one_shuffle(spark):
+    from strandloom.sources.tables import spliced
+
+    assert shuffles(spliced(spark, SMALL)) == 1
+
+
+def test_lines_join_to_exons_where_they_touch(spark):
+    from strandloom.functions.arrays import joined
+
+    df = spark.createDataFrame([(1, [(0, 5), (5, 9), (6, 7), (8, 12), (14, 15)]), (2, [(3, 4)]), (3, [(None, None), (1, 2)]), (4, [(None, None)])], "id int, x array<struct<start:int,end:int>>")
+    got = {r.id: [tuple(x) for x in r.e] for r in df.select("id", joined(F.col("x")).alias("e")).collect()}
+    assert got == {1: [(0, 12), (14, 15)], 2: [(3, 4)], 3: [(1, 2)], 4: [(None, None)]}
