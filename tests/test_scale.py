@@ -41,3 +41,12 @@ def test_lines_join_to_exons_where_they_touch(spark):
     df = spark.createDataFrame([(1, [(0, 5), (5, 9), (6, 7), (8, 12), (14, 15)]), (2, [(3, 4)]), (3, [(None, None), (1, 2)]), (4, [(None, None)])], "id int, x array<struct<start:int,end:int>>")
     got = {r.id: [tuple(x) for x in r.e] for r in df.select("id", joined(F.col("x")).alias("e")).collect()}
     assert got == {1: [(0, 12), (14, 15)], 2: [(3, 4)], 3: [(1, 2)], 4: [(None, None)]}
+
+
+def test_unique_junctions_are_counted_without_a_join(spark):
+    from strandloom.operators.transcripts import unique_junctions
+
+    df = spark.createDataFrame([(1, 7, 0, 1), (1, 7, 0, 1), (1, 7, 1, 2), (1, 8, 1, 2), (1, 8, 2, 3), (2, 9, 1, 2), (1, 5, 1, 2)], "g int, p int, l int, r int")
+    found = unique_junctions(df, ["g"], "p", ["l", "r"])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 0), (1, 7, 1), (1, 8, 1), (2, 9, 1)]
