@@ -43,6 +43,12 @@ def test_lines_join_to_exons_where_they_touch(spark):
     assert got == {1: [(0, 12), (14, 15)], 2: [(3, 4)], 3: [(1, 2)], 4: [(None, None)]}
 
 
+def test_gap_clusters_deal_rows_once_a_bound(spark):
+    import __spark_entry__ as entry
+
+    assert shuffles(entry.queries()["gap_clusters"](spark, SMALL)) <= 16
+
+
 def test_unique_junctions_are_counted_without_a_join(spark):
     from strandloom.operators.transcripts import unique_junctions
 
