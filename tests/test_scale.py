@@ -56,3 +56,9 @@ def test_unique_junctions_are_counted_without_a_join(spark):
     found = unique_junctions(df, ["g"], "p", ["l", "r"])
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, 5, 0), (1, 7, 1), (1, 8, 1), (2, 9, 1)]
+
+
+def test_tasks_are_dealt_less_than_spark_would(spark):
+    table(spark, SMALL, "lineitem")
+    assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").rstrip("b")) <= 16 << 20
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) <= 32 << 20
