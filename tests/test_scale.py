@@ -62,3 +62,13 @@ def test_tasks_are_dealt_less_than_spark_would(spark):
     table(spark, SMALL, "lineitem")
     assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").rstrip("b")) <= 16 << 20
     assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) <= 32 << 20
+
+
+def test_samples_of_merged_items_are_told_once_before_they_are_gathered(spark):
+    from strandloom.operators.transcripts import merge
+
+    rows = [("1", [1, 2], 7, 3, 9, 1.0, 5), ("1", [1, 2], 7, 2, 9, 2.0, 4), ("1", [1, 2], 8, 3, 12, 4.0, 1), ("1", [1, 2], None, 3, 10, 8.0, 2), ("2", [], 7, 0, 100, 1.0, 1), ("2", [], 9, 5, 100, 3.0, 2)]
+    found = merge(spark.createDataFrame(rows, "chrm string, chain array<int>, sample_id int, start int, end int, cov double, abd int"), ["chrm"])
+    assert "collect_set" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.chrm, r.chain, r.start, r.end, r.cov, r.abd, r.count2, r.samples) for r in found.collect())
+    assert got == [("1", [1, 2], 2, 12, 15.0, 5, 2, [7, 8]), ("2", [], 0, 100, 3.0, 2, 2, [7, 9])]
